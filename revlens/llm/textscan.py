@@ -105,14 +105,18 @@ def range_hash(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.nd
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
-def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of non-space bytes: start, end, hash of the lower-cased (A-Z only) word, and the first word of each document."""
+#: Everything but ASCII letters, digits and the bytes of non-ASCII characters.
+PUNCTUATION = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
+
+
+def words(chunk: Chunk, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes outside ``space``: start, end, hash of the lower-cased (A-Z only) word, and the first word of each document."""
     data, offsets = chunk.data, chunk.offsets
     n = len(data)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(0, dtype=U), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(n, dtype=bool)

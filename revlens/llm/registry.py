@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from revlens.llm import q02_byte_bpe
+from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q09_toxicity
 
 
 def queries() -> dict:
-    return {"op2_byte_bpe": q02_byte_bpe.run}
+    return {"op1_language": q01_language.run, "op2_byte_bpe": q02_byte_bpe.run, "op3_secrets": q03_secrets.run, "op9_toxicity": q09_toxicity.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": q03_secrets.SQL}

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q09_toxicity
+from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q06_embedding_dedup, q09_toxicity
 
 
 def queries() -> dict:
-    return {"op1_language": q01_language.run, "op2_byte_bpe": q02_byte_bpe.run, "op3_secrets": q03_secrets.run, "op9_toxicity": q09_toxicity.run}
+    return {
+        "op1_language": q01_language.run,
+        "op2_byte_bpe": q02_byte_bpe.run,
+        "op3_secrets": q03_secrets.run,
+        "op4_line_dedup": q04_line_dedup.run,
+        "op6_embedding_dedup": q06_embedding_dedup.run,
+        "op9_toxicity": q09_toxicity.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": q03_secrets.SQL}
+    return {"op3_secrets": q03_secrets.SQL, "op4_line_dedup": q04_line_dedup.SQL}

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q06_embedding_dedup, q09_toxicity
+from pyspark.sql import DataFrame, SparkSession
+
+from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q06_embedding_dedup, q08_ngram_join, q09_toxicity
+from revlens.session import ship
+
+
+def _shipped(run):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_language": q01_language.run,
         "op2_byte_bpe": q02_byte_bpe.run,
         "op3_secrets": q03_secrets.run,
         "op4_line_dedup": q04_line_dedup.run,
         "op6_embedding_dedup": q06_embedding_dedup.run,
+        "op8_ngram_join": q08_ngram_join.run,
         "op9_toxicity": q09_toxicity.run,
     }
+    return {name: _shipped(run) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,7 @@ class Chunk:
         return self.data[self.offsets[k] : self.offsets[k + 1]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 60_000) -> Iterator[Chunk]:
     """Cuts batches between documents so that one chunk holds about ``limit`` bytes."""
     for batch in batches:
         if not batch.num_rows:
@@ -87,7 +87,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + limit, "right"))))
             yield Chunk(batch.slice(start, stop - start), column)
             start = stop
 
@@ -147,8 +147,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]
             out.append(np.unique(rolled[a : b - n + 1]))
         elif b > a:
             one = np.array([b - a], dtype=U)
-            for f, h in zip(factors, hashes[a:b], strict=False):
-                one += h * f
+            for f, k in zip(factors, range(a, b), strict=False):
+                one += hashes[k : k + 1] * f
             out.append(mix(mix(one)))
         else:
             out.append(np.zeros(0, dtype=U))

@@ -18,39 +18,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.session import Scratch
+
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column, width: int) -> Column:
-    """Array of struct(line, h1, h2, blank)."""
+def _windows(lines: str, width: int) -> Column:
+    """Array of struct(line, h1, h2, blank) over an array column that is already materialised."""
+    columns = [F.slice(lines, F.lit(k + 1), F.greatest(F.size(lines) - width + 1, F.lit(0))) for k in range(width)]
+    zipped = F.arrays_zip(*[c.alias(f"l{k}") for k, c in enumerate(columns)])
 
-    def at(i: Column) -> Column:
-        parts = [lines.getItem(i + k) for k in range(width)]
+    def at(z: Column, i: Column) -> Column:
+        parts = [z[f"l{k}"] for k in range(width)]
         return F.struct(i.alias("line"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(width), *parts).alias("h2"), reduce(lambda a, b: a & b, [F.trim(p) == "" for p in parts]).alias("blank"))
 
-    last = F.size(lines) - width
-    return F.filter(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)), lambda w: ~w["blank"])
+    return F.filter(F.transform(zipped, at), lambda w: ~w["blank"])
 
 
 def dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
     """``frame`` with its text deduplicated, ``n_lines`` and ``n_removed`` (long)."""
     keyed = frame.select("*", F.xxhash64(text).alias("_digest"))
-    places = keyed.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), "_digest", F.explode(_windows(_lines(F.col(text)), width)).alias("w"))
-    places = places.select("_id", "_digest", F.col("w.line").alias("line"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+    # a generator of one row keeps the optimizer from splitting the text anew for every line
+    split = keyed.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), "_digest", F.explode(F.array(_lines(F.col(text)))).alias("_lines"))
+    places = split.select("_id", "_digest", F.explode(_windows("_lines", width)).alias("w"))
+    # read twice below: once for the first places, once for the later ones
+    places = Scratch(frame.sparkSession, "lines").save(places.select("_id", "_digest", F.col("w.line").alias("line"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")), "places")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("_id", "line")).alias("first"), F.max(F.struct("_id", "line")).alias("last")).where(F.col("first") != F.col("last")).drop("last")
     later = places.join(first, ["h1", "h2"]).where(~F.struct("_id", "line").eqNullSafe(F.col("first")))
     covered = later.groupBy("_id", "_digest", "line").agg(F.lit(1).alias("_one")).groupBy("_id", "_digest").agg(F.collect_list("line").alias("_starts"))
     covered = covered.select(F.col("_id").alias("_c_id"), F.col("_digest").alias("_c_digest"), "_starts")
     joined = keyed.join(covered, F.col(doc_id).eqNullSafe(F.col("_c_id")) & (F.col("_digest") == F.col("_c_digest")), "left")
-    lines = _lines(F.col(text))
+    joined = joined.select("*", F.explode(F.array(F.when(F.col(text).isNotNull(), _lines(F.col(text))))).alias("_lines"))
     hidden = F.flatten(F.transform("_starts", lambda s: F.array(*[s + k for k in range(width)])))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), hidden)
-    shown = F.array_join(F.transform(kept, lambda i: lines.getItem(i)), "\n")
-    touched = F.col("_starts").isNotNull() & F.col(text).isNotNull()
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), hidden)
+    joined = joined.select("*", F.explode(F.array(F.when(F.col("_starts").isNotNull(), kept))).alias("_kept"))
+    shown = F.array_join(F.transform("_kept", lambda i: F.col("_lines").getItem(i)), "\n")
+    touched = F.col("_kept").isNotNull() & F.col(text).isNotNull()
     return joined.select(
         *[F.when(touched, shown).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in frame.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(touched, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.when(touched, F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
     )

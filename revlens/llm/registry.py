@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q06_embedding_dedup, q08_ngram_join, q09_toxicity
+from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q05_suffix_dedup, q06_embedding_dedup, q07_mixing, q08_ngram_join, q09_toxicity
 from revlens.session import ship
 
 
@@ -22,7 +22,9 @@ def queries() -> dict:
         "op2_byte_bpe": q02_byte_bpe.run,
         "op3_secrets": q03_secrets.run,
         "op4_line_dedup": q04_line_dedup.run,
+        "op5_suffix_dedup": q05_suffix_dedup.run,
         "op6_embedding_dedup": q06_embedding_dedup.run,
+        "op7_mixing": q07_mixing.run,
         "op8_ngram_join": q08_ngram_join.run,
         "op9_toxicity": q09_toxicity.run,
     }

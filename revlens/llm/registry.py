@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q05_suffix_dedup, q06_embedding_dedup, q07_mixing, q08_ngram_join, q09_toxicity
+from revlens.llm import q01_language, q02_byte_bpe, q03_secrets, q04_line_dedup, q05_suffix_dedup, q06_embedding_dedup, q07_mixing, q08_ngram_join, q09_toxicity, q10_media
 from revlens.session import ship
 
 
@@ -27,6 +27,7 @@ def queries() -> dict:
         "op7_mixing": q07_mixing.run,
         "op8_ngram_join": q08_ngram_join.run,
         "op9_toxicity": q09_toxicity.run,
+        "op10_media": q10_media.run,
     }
     return {name: _shipped(run) for name, run in found.items()}
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.textscan import Chunk, U, chunks, mix, prefix_codes, range_hash
+from revlens.llm.textscan import CHUNK_BYTES, Chunk, U, chunks, mix, prefix_codes, range_hash
 from revlens.session import Scratch, arrow_rows
 
 WORD = 40
@@ -90,7 +90,7 @@ def _runs(units: DataFrame, length: int, piece: int) -> DataFrame:
     names = ["u1", "u2", "weight", "key", "seg", "j0", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "body"):
+        for chunk in chunks(batches, "body", CHUNK_BYTES // 2):
             doc, j0, n, key, seg, twice = segments(chunk, length, piece)
             u1, u2, weight = (chunk.column(c).to_numpy() for c in ("u1", "u2", "weight"))
             doc = np.append(doc, np.zeros(len(twice), dtype=np.int64))
@@ -234,12 +234,32 @@ def _cut(units: DataFrame, owned: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, seg long, weight long, hot boolean, body binary")
 
 
+def _united(told: DataFrame) -> DataFrame:
+    """Adjacent and overlapping intervals of each unit's sorted ``starts`` as one."""
+    intervals = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for starts in batch.column(2).to_pylist():
+                own: list[dict[str, int]] = []
+                for s in starts:
+                    if own and s["a"] <= own[-1]["b"]:
+                        own[-1]["b"] = max(own[-1]["b"], s["b"])
+                    else:
+                        own.append(s)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, intervals)], names=["u1", "u2", "starts"])
+
+    return told.select("u1", "u2", "starts").mapInArrow(run, "u1 long, u2 long, starts array<struct<a:int,b:int>>")
+
+
 def _pieces(length: int) -> list[int]:
     """Lengths of the hashed pieces, from the first dealing to the last."""
     return sorted({max(1, length * 28 // 100), length * 3 // 4, length})
 
 
-def _repeats(units: DataFrame, scratch: Scratch, length: int, level: int = 0) -> DataFrame:
+def _repeats(units: DataFrame, scratch: Scratch, length: int, hot_bytes: int, level: int = 0) -> DataFrame:
     """(u1, u2, starts): for each unit, intervals of starts of strings that start elsewhere too."""
     spark, pieces = scratch.spark, _pieces(length)
     runs = scratch.save(_runs(units, length, pieces[level]), f"runs{level}")
@@ -249,7 +269,7 @@ def _repeats(units: DataFrame, scratch: Scratch, length: int, level: int = 0) ->
     parts = active.groupBy("key", "seg").agg(F.sum("weight").alias("weight"), F.min(F.struct("u1", "u2", "j0", "n")).alias("owner"))
     sizes = active.groupBy("key", "seg").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + F.lit(length - 1 + WORD)).alias("bytes"), F.max("weight").alias("most"))
     alone = (F.col("kinds") == 1) & (F.col("most") > 1)  # one segment, met more than once: all its starts are repeated
-    judged = scratch.save(parts.join(sizes, "key").select("key", "seg", "weight", "owner", alone.alias("alone"), ((F.col("bytes") > HOT) & F.lit(level + 1 < len(pieces))).alias("hot")), f"parts{level}")
+    judged = scratch.save(parts.join(sizes, "key").select("key", "seg", "weight", "owner", alone.alias("alone"), ((F.col("bytes") > hot_bytes) & F.lit(level + 1 < len(pieces))).alias("hot")), f"parts{level}")
     owned = judged.where(~F.col("alone")).select(F.col("owner.u1").alias("u1"), F.col("owner.u2").alias("u2"), F.struct("key", "seg", "weight", "hot", F.col("owner.j0").alias("j0"), F.col("owner.n").alias("n")).alias("part"))
     owned = owned.groupBy("u1", "u2").agg(F.collect_list("part").alias("parts"))
     with arrow_rows(spark, 500):
@@ -261,19 +281,19 @@ def _repeats(units: DataFrame, scratch: Scratch, length: int, level: int = 0) ->
     found = found.unionByName(judged.where("alone").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("owner.n").alias("b"))).alias("starts")))
     hot = bodies.where("hot").select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "weight", "body")
     if level + 1 < len(pieces) and not hot.isEmpty():
-        deeper = _repeats(hot, scratch, length, level + 1)
+        deeper = _repeats(hot, scratch, length, hot_bytes, level + 1)
         found = found.unionByName(deeper.select(F.col("u1").alias("key"), F.col("u2").alias("seg"), "starts"))
     told = active.select("key", "seg", "u1", "u2", "j0").join(found, ["key", "seg"])
     told = told.select("u1", "u2", F.explode(F.transform("starts", lambda s: F.struct((s["a"] + F.col("j0")).alias("a"), (s["b"] + F.col("j0")).alias("b")))).alias("s"))
     told = told.groupBy("u1", "u2", "s").agg(F.lit(1).alias("one")).groupBy("u1", "u2").agg(F.sort_array(F.collect_list("s")).alias("starts"))
-    return scratch.save(told, f"told{level}")
+    return scratch.save(_united(told), f"told{level}")
 
 
 def _digest(body: Column) -> list[Column]:
     return [F.xxhash64(body).alias("u1"), F.xxhash64(F.lit("b"), body).alias("u2")]
 
 
-def dedup(frame: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
+def dedup(frame: DataFrame, text: str = "text", length: int = 200, hot_bytes: int = HOT) -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (removed bytes, end exclusive) and ``kept`` (binary) in place of ``text``."""
     if length % WORD:
         raise ValueError(f"length must be a multiple of {WORD}")
@@ -282,7 +302,7 @@ def dedup(frame: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
     kept = [c for c in frame.columns if c not in [*added, text]]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     units = frame.select(body.alias("body")).select("body", *_digest(F.col("body")), F.lit(1).cast("long").alias("weight")).where(F.octet_length("body") >= length)
-    found = _repeats(units, scratch, length)
+    found = _repeats(units, scratch, length, hot_bytes)
     base = frame.select(*kept, body.alias("_body")).select("*", F.xxhash64("_body").alias("_u1"), F.xxhash64(F.lit("b"), "_body").alias("_u2"))
     joined = base.join(found.select(F.col("u1").alias("_u1"), F.col("u2").alias("_u2"), F.col("starts").alias("_starts")), ["_u1", "_u2"], "left").select(*kept, "_body", "_starts")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -290,7 +310,7 @@ def dedup(frame: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             sizes, removed, spans, left = [], [], [], []
             for raw, starts in zip(batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 data = raw.as_buffer().to_pybytes()

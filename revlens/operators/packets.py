@@ -1,12 +1,76 @@
-"""placeholder"""
+"""The packet of a drawing: one nested JSON document, and the run it belongs to."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SNIPPETS = "snippets"
+
 
-def numbered(items):
+def numbered(items: DataFrame) -> DataFrame:
+    """Items in packet order: anchors as in the form, then the added ones."""
     order = W.partitionBy("drawing_id").orderBy("is_added", "item_ord")
     return items.withColumn("item_no", F.row_number().over(order))
 
 
+def snippet_name(char_no: Column, revision: str, page: Column) -> Column:
+    return F.format_string(f"char_%03d_{revision}_p%d.png", char_no, page)
+
+
+def run_id(part: Column, when: Column, *paths: Column) -> Column:
+    """Part, time and a digest of the input paths."""
+    return F.concat_ws("_", part, F.date_format(when, "yyyy-MM-dd'T'HH-mm-ss"), F.substring(F.sha2(F.concat(*paths), 256), 1, 8))
+
+
+def output_items(rows: DataFrame) -> DataFrame:
+    """Items (with evidence regions ea*, eb* and page) as the packet has them."""
+
+    def side(prefix: str, revision: str, page: Column) -> Column:
+        box = F.array(*[F.col(f"{prefix}{i}") for i in range(4)])
+        image = F.concat(F.lit(f"{SNIPPETS}/"), snippet_name(F.col("char_no"), revision, page))
+        return F.when(F.col(f"{prefix}0").isNotNull(), F.struct(page.alias("page"), box.alias("bbox"), image.alias("image_path")))
+
+    item = F.struct("char_no", "status", "confidence", "reasons", "scores", side("ea", "revA", F.col("page")).alias("revA"), side("eb", "revB", F.lit(0)).alias("revB"))
+    return rows.select("drawing_id", "is_added", "item_ord", item.alias("item"))
+
+
+def packets(rows: DataFrame, run: Column, inputs: Column) -> DataFrame:
+    """One row per drawing: drawing_id and the packet as JSON."""
+    ordered = F.sort_array(F.collect_list(F.struct("is_added", "item_ord", F.to_json("item").alias("j"))))
+    docs = output_items(rows).groupBy("drawing_id").agg(F.transform(ordered, lambda i: i["j"]).alias("items"))
+    head = F.to_json(F.struct(run.alias("run_id"), inputs.alias("inputs")))
+    return docs.select("drawing_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"items":['), F.array_join("items", ","), F.lit("]}")).alias("packet"))
+
+
+def write_packets(docs: DataFrame, path: str) -> None:
+    """One JSON line per drawing, in a folder that must not exist yet."""
+    docs.select("packet").write.mode("errorifexists").text(path)
+
+
+ITEM_SCHEMA = "run_id string, inputs map<string,string>, items array<struct<char_no:int,status:string,confidence:double,reasons:array<string>,scores:map<string,double>,revA:struct<page:int,bbox:array<double>,image_path:string>,revB:struct<page:int,bbox:array<double>,image_path:string>>>"
+
+
 def registered(chain, table, query):
-    return {}
+    from revlens.operators.evidence import evidence
+
+    def rows(s, d):
+        c = chain(s, d)
+        return evidence(c.items(), c.once("anchors", c.anchors), c.t("spans_a"), c.t("spans_b"))
+
+    def packed(s, d):
+        inputs = F.create_map(F.lit("revA"), F.lit("a.pdf"), F.lit("revB"), F.lit("b.pdf"))
+        return packets(rows(s, d), F.concat(F.lit("run_"), F.col("drawing_id")), inputs)
+
+    def read_back(s, d):
+        p = packed(s, d).select("drawing_id", F.from_json("packet", ITEM_SCHEMA).alias("p"))
+        return p.select("drawing_id", "p.run_id", F.size("p.items").alias("n_items"), F.size(F.filter("p.items", lambda i: i["status"] == "added")).alias("n_added"), F.round(F.aggregate("p.items", F.lit(0.0), lambda a, i: a + i["confidence"]), 4).alias("confidence"))
+
+    return {
+        "P12_output_projection": (lambda s, d: output_items(rows(s, d)).select("drawing_id", "is_added", "item.char_no", "item.status", F.col("item.revA").isNotNull().alias("has_a"), F.col("item.revB").isNotNull().alias("has_b")), query("SELECT drawing_id, is_added, i.char_no, status, is_added = 0 AS has_a, span_ord IS NOT NULL AS has_b FROM all_items i")),
+        "K1_packet_sink": (read_back, query("SELECT drawing_id, concat('run_', drawing_id) AS run_id, count(*)::INT AS n_items, count(*) FILTER (is_added = 1)::INT AS n_added, round(sum(confidence), 4) AS confidence FROM all_items GROUP BY drawing_id")),
+        "K2_snippet_names": (lambda s, d: table(s, d, "form3").select("drawing_id", snippet_name(F.col("char_no"), "revA", F.col("char_no") % 3).alias("name")), query("SELECT drawing_id, format('char_{:03d}_revA_p{}.png', char_no, char_no % 3) AS name FROM form3")),
+        "K4_run_dir": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", run_id(F.lit("part1"), F.col("o_orderdate").cast("timestamp"), F.lit("/a/"), F.col("o_orderkey").cast("string")).alias("run_id")), "SELECT o_orderkey, concat('part1_', strftime(o_orderdate::TIMESTAMP, '%Y-%m-%dT%H-%M-%S'), '_', substring(sha256(concat('/a/', o_orderkey)), 1, 8)) AS run_id FROM orders"),
+        "K5_progress_log": (lambda s, d: (lambda c: c.t("form3").agg(F.count("*").alias("n")).select(F.lit("form3").alias("stage"), "n").unionByName(c.balloons().agg(F.count("*").alias("n")).select(F.lit("balloons").alias("stage"), "n")).unionByName(c.anchors().agg(F.count("*").alias("n")).select(F.lit("anchors").alias("stage"), "n")))(chain(s, d)), query("SELECT 'form3' AS stage, count(*) AS n FROM form3 UNION ALL SELECT 'balloons', count(*) FROM balloons UNION ALL SELECT 'anchors', count(*) FROM anchors")),
+    }

@@ -1,5 +1,59 @@
-"""placeholder"""
+"""Queries over literal cases and drawn rasters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revlens.functions import text as X
+from revlens.operators import classification, vision
+from revlens.session import ship
+from revlens.sources import pages
+
+#: requirement, span (null: no match), location score, coverage.
+CASES = [
+    ("Ø 8.0 +0.1 -0.0", "Ø 8.0 +0.1 -0.0", 0.85, 1.0), ("R 2.5", "R 2.5", 0.9, 1.0), ("Ø 8.0 +0.1 -0.0", "Ø 8.5 +0.1 -0.0", 0.8, 1.0), ("Ø 10.0 +0.2 -0.1", "Ø 10.0 +0.3 -0.1", 0.75, 1.0),
+    ("Ø 8.0", "R 12.5", 0.9, 1.0), ("DRAWING NOTES", "EDGE RADIUS", 0.85, 1.0), ("Ø 5.0", "Ø 5.0", 1.0, 1.0), ("Ø 5.0", "completely different text", 0.0, 1.0), ("Ø 6.0", "Ø 6.0", 0.7, 1.0), ("R 3.0", "R 3.5", 0.75, 1.0),
+    ("Ø 9.0", "LENGTH 15.0", 0.8, 1.0), ("2X Ø8", "4X Ø8", 0.8, 1.0), ("Ø 1.0", None, 0.0, 1.0), ("Ø 1.0", None, 0.0, 0.7),
+]
+EXPECTED = ["unchanged:0.94", "unchanged:0.96", "unchanged:0.786667", "unchanged:0.766667", "unchanged:0.54", "unchanged:0.94", "unchanged:1.0", "uncertain:0.0", "unchanged:0.88", "changed:0.5", "unchanged:0.48", "changed:0.75", "removed:0.9", "removed:0.7"]
+
+
+def classified_cases(spark):
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(CASES)], "case_id int, requirement string, span string, location_score double, coverage double")
+    rows = rows.withColumns({"matched": F.col("span").isNotNull(), "context_score": F.lit(0.0)})
+    return classification.classified(X.with_tokens(X.with_tokens(rows, "requirement", "a_"), "span", "s_"))
 
 
 def registered(chain, table, query):
-    return {}
+    def numbers(s, d):
+        ship(s)
+        return vision.recognised(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_size"), "p_partkey", "p_size")
+
+    def measured(s, d):
+        ship(s)
+        return vision.measured(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_size"), "p_partkey", "p_size")
+
+    def greys(s, d):
+        ship(s)
+        return vision.grey_values(s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 256).cast("int").alias("b"), (F.col("l_suppkey") * 3 % 256).cast("int").alias("g"), (F.col("l_orderkey") % 256).cast("int").alias("r")).distinct())
+
+    def spans_again(s, d):
+        spans = table(s, d, "spans_a").withColumns({"rev": F.lit("A"), "page": F.lit(0), "block_id": F.lit(0), "line_id": F.lit(0), "span_id": F.col("span_ord") - 1})
+        return pages.text_spans(pages.page_json(spans))
+
+    values = ", ".join(f"({k}, '{e.split(':')[0]}', {e.split(':')[1]}::DOUBLE)" for k, e in enumerate(EXPECTED))
+    return {
+        "C_classification_cases": (lambda s, d: classified_cases(s).select("case_id", "status", F.round("confidence", 6).alias("confidence")), f"SELECT * FROM (VALUES {values}) AS t(case_id, status, confidence)"),
+        "V3_circle_detect": (lambda s, d: numbers(s, d).select("p_partkey", "circle"), "SELECT p_partkey, true AS circle FROM part"),
+        "V6_template_match": (lambda s, d: numbers(s, d).where(F.col("digit") < 10).select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part WHERE p_size < 10"),
+        "V7_two_digit_split": (lambda s, d: numbers(s, d).where(F.col("digit") >= 10).select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part WHERE p_size >= 10"),
+        "B2_cv_balloons": (lambda s, d: numbers(s, d).where("circle and digit between 1 and 200").select("p_partkey", F.col("digit").alias("char_no")), "SELECT p_partkey, p_size::INT AS char_no FROM part"),
+        "A10_best_digit": (lambda s, d: numbers(s, d).select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part"),
+        "V2_circle_validate": (lambda s, d: measured(s, d).select("p_partkey", "circle_ok"), "SELECT p_partkey, true AS circle_ok FROM part"),
+        "V0_grayscale": (greys, "SELECT b, g, r, ((114 * b + 587 * g + 299 * r + 500) // 1000)::INT AS grey FROM (SELECT DISTINCT (l_partkey % 256)::INT AS b, (l_suppkey * 3 % 256)::INT AS g, (l_orderkey % 256)::INT AS r FROM lineitem)"),
+        "V4_otsu_binarize": (lambda s, d: measured(s, d).select("p_partkey", "threshold", "n_ink"), None),
+        "V5_largest_contour": (lambda s, d: measured(s, d).select("p_partkey", "region_w", "region_h"), None),
+        "V8_crop_pixels": (lambda s, d: measured(s, d).select("p_partkey", "crop_w", "crop_h", "png_bytes"), None),
+        "S7_text_span_scan": (lambda s, d: spans_again(s, d).select("drawing_id", "span_ord", "text", "x0", "y1", "span_id"), query("SELECT drawing_id, span_ord, text, x0, y1, span_ord - 1 AS span_id FROM spans_a")),
+        "W5_ordinals": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_id", "line")).select("doc_id", F.col("line_id").cast("long").alias("line_id"), F.length("line").cast("long").alias("n")), "SELECT doc_id, i - 1 AS line_id, length(lines[i]) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"),
+    }

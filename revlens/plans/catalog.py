@@ -294,6 +294,10 @@ for _module in (form3, alignment, evidence, packets, cases):
         _add(_name, _run, _sql)
 
 
+for _copy, _of in (("A9_corner_extent", "G7_project_bbox"), ("K3_debug_overlay_sink", "G6_project_point")):
+    _add(_copy, _QUERIES[_of], _SQL[_of])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

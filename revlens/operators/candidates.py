@@ -29,7 +29,10 @@ def span_contexts(spans: DataFrame) -> DataFrame:
 
 
 def within_radius(anchors: DataFrame, spans: DataFrame) -> DataFrame:
-    return G.grid_join(anchors, spans, ["drawing_id"], ("px", "py"), ("scx", "scy"), SEARCH_RADIUS)
+    """Pairs by narrow keys first; what scoring reads joins them afterwards."""
+    near = G.grid_join(anchors.select("drawing_id", "char_no", "px", "py"), spans.select("drawing_id", "span_ord", "scx", "scy"), ["drawing_id"], ("px", "py"), ("scx", "scy"), SEARCH_RADIUS)
+    near = near.select("drawing_id", "char_no", "span_ord", "dist")
+    return near.join(anchors, ["drawing_id", "char_no"]).join(spans, ["drawing_id", "span_ord"])
 
 
 def numeric_overlap(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.session import Scratch
+
 ITEMS = """
 SELECT l_orderkey AS drawing_id,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS INT) AS ord,
@@ -61,15 +63,27 @@ SELECT drawing_id,
 TABLES = {"items": ITEMS, "placed": PLACED, "form3": FORM3, "hits": HITS, "spans_a": SPANS_A, "spans_b": SPANS_B, "transforms": TRANSFORMS}
 
 
+_ITEMS: dict[tuple[str, str], DataFrame] = {}
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered order rows: written once per application and folder, since every derived table reads them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ITEMS:
+        sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
+        rows = spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **sources)
+        _ITEMS[key] = Scratch(spark, "items").save(rows, "items")
+    return _ITEMS[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table, read straight from the parquet files."""
-    steps = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
-    for step, sql in TABLES.items():
-        if step == name or step in ("items", "placed"):
-            names = [t for t in ("lineitem", "part", "items", "placed") if t in steps]
-            for t in names:
-                sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-            steps[step] = spark.sql(sql, **{t: steps[t] for t in names if f"{{{t}}}" in sql})
+    """One derived table."""
+    steps = {"items": items(spark, sf_dir)}
+    if name != "items":
+        steps["placed"] = spark.sql(PLACED.replace("FROM items", "FROM {items}"), items=steps["items"])
+    if name not in steps:
+        sql = TABLES[name].replace("FROM items", "FROM {items}").replace("FROM placed", "FROM {placed}")
+        steps[name] = spark.sql(sql, **{t: steps[t] for t in ("items", "placed") if f"{{{t}}}" in sql})
     return steps[name]
 
 

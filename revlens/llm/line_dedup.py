@@ -54,7 +54,7 @@ def dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     hidden = F.flatten(F.transform("_starts", lambda s: F.array(*[s + k for k in range(width)])))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), hidden)
     joined = joined.select("*", F.explode(F.array(F.when(F.col("_starts").isNotNull(), kept))).alias("_kept"))
-    shown = F.array_join(F.transform("_kept", lambda i: F.col("_lines").getItem(i)), "\n")
+    shown = F.array_join(F.transform("_kept", lambda i: F.col("_lines")[i]), "\n")
     touched = F.col("_kept").isNotNull() & F.col(text).isNotNull()
     return joined.select(
         *[F.when(touched, shown).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in frame.columns if c not in ("n_lines", "n_removed")],

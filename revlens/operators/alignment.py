@@ -21,7 +21,11 @@ def hamming(a: list[Column], b: list[Column]) -> Column:
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, words: list[str]) -> DataFrame:
-    """Pairs (kp_a, kp_b) of a drawing that are each other's nearest descriptor, the first of equals."""
+    """Pairs (kp_a, kp_b) of a drawing that are each other's nearest descriptor, the first of equals.
+
+    All pairs of a drawing are compared: a detector gives a page a bounded
+    number of key points (some thousands), and only two minima leave each task.
+    """
     left = a.select("drawing_id", F.col("kp_id").alias("kp_a"), *[F.col(w).alias(f"a_{w}") for w in words])
     right = b.select("drawing_id", F.col("kp_id").alias("kp_b"), *[F.col(w).alias(f"b_{w}") for w in words])
     pairs = left.join(right, "drawing_id").select("drawing_id", "kp_a", "kp_b", hamming([F.col(f"a_{w}") for w in words], [F.col(f"b_{w}") for w in words]).alias("dist"))

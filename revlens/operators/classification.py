@@ -10,6 +10,18 @@ from revlens.functions import text as X
 from revlens.operators.assignment import SPAN_KEY
 from revlens.operators.candidates import numeric_overlap
 
+# Sentences that results carry.
+REMOVED = "No candidate found within search window"
+COUNT_CHANGED = "Count changed: "
+VALUES_MATCH = "Numeric values match ("
+COUNTS_MATCH = "Count tokens match: "
+VALUES_CHANGED = "Numeric values changed (only "
+SAME_PLACE = "Location strongly suggests same requirement"
+OVERLAP = "Numeric overlap: "
+WEAK = "Weak match confidence"
+NEAR = "High location agreement after global alignment"
+NEW_TEXT, NEW_MARKS = 'New requirement detected in Rev B: "', "Symbols: "
+
 
 def _tests() -> dict[str, Column]:
     c = F.col
@@ -41,16 +53,16 @@ def classified(rows: DataFrame) -> DataFrame:
     percent = (ov * 100).cast("int").cast("string")
     numbers = lambda name: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(name), X.float_text), ", "), F.lit("]"))
     why = F.array_compact(F.array(
-        F.when(is_("C1"), "No candidate found within search window"),
-        F.when(is_("C2"), F.concat(F.lit("Count changed: "), X.set_text(c("a_counts")), F.lit(" → "), X.set_text(c("s_counts")))),
-        F.when(is_("C3"), F.concat(F.lit("Numeric values match ("), percent, F.lit("% overlap)"))),
-        F.when(is_("C3") & (F.size("a_counts") > 0) & (F.array_sort("a_counts") == F.array_sort("s_counts")), F.concat(F.lit("Count tokens match: "), X.set_text(c("a_counts")))),
-        F.when(is_("C4"), F.concat(F.lit("Numeric values changed (only "), percent, F.lit("% overlap)"))),
+        F.when(is_("C1"), F.lit(REMOVED)),
+        F.when(is_("C2"), F.concat(F.lit(COUNT_CHANGED), X.set_text(c("a_counts")), F.lit(" → "), X.set_text(c("s_counts")))),
+        F.when(is_("C3"), F.concat(F.lit(VALUES_MATCH), percent, F.lit("% overlap)"))),
+        F.when(is_("C3") & (F.size("a_counts") > 0) & (F.array_sort("a_counts") == F.array_sort("s_counts")), F.concat(F.lit(COUNTS_MATCH), X.set_text(c("a_counts")))),
+        F.when(is_("C4"), F.concat(F.lit(VALUES_CHANGED), percent, F.lit("% overlap)"))),
         F.when(is_("C4"), F.concat(F.lit("Anchor: "), numbers("a_numbers"), F.lit(", Matched: "), numbers("s_numbers"))),
-        F.when(is_("C5"), "Location strongly suggests same requirement"),
-        F.when(is_("C5"), F.concat(F.lit("Numeric overlap: "), percent, F.lit("%"))),
-        F.when(is_("C6"), "Weak match confidence"),
-        F.when(~is_("C1") & (loc > 0.7), "High location agreement after global alignment"),
+        F.when(is_("C5"), F.lit(SAME_PLACE)),
+        F.when(is_("C5"), F.concat(F.lit(OVERLAP), percent, F.lit("%"))),
+        F.when(is_("C6"), F.lit(WEAK)),
+        F.when(~is_("C1") & (loc > 0.7), F.lit(NEAR)),
     ))
     score = lambda x: F.when(is_("C1"), 0.0).otherwise(x)
     return rows.withColumns({
@@ -86,7 +98,7 @@ def added(spans: DataFrame, matches: DataFrame, anchors: DataFrame) -> DataFrame
     bonus = lambda test, x: F.when(test, x).otherwise(0.0)
     confidence = F.lit(0.6) + bonus(F.size("s_symbols") > 0, 0.15) + bonus(F.size("s_counts") > 0, 0.15) + bonus(F.col("s_kind").isin("hole", "dimension", "fillet"), 0.1)
     counts = F.transform(F.regexp_extract_all("s_norm", F.lit(r"(?U)\b(\d+)\s*X\b"), F.lit(1)), lambda n: F.concat(n, F.lit("X")))
-    why = F.array(F.concat(F.lit('New requirement detected in Rev B: "'), F.col("_trimmed"), F.lit('"')), F.concat(F.lit("Symbols: "), X.list_text(F.col("s_symbols")), F.lit(", Counts: "), X.list_text(counts)))
+    why = F.array(F.concat(F.lit(NEW_TEXT), F.col("_trimmed"), F.lit('"')), F.concat(F.lit(NEW_MARKS), X.list_text(F.col("s_symbols")), F.lit(", Counts: "), X.list_text(counts)))
     return rows.withColumns({
         "char_no": (F.coalesce("last", F.lit(0)) + F.row_number().over(order)).cast("int"), "status": F.lit("added"), "confidence": F.least(confidence, F.lit(0.95)), "reasons": why,
         "scores": F.create_map(F.lit("location"), F.lit(0.0), F.lit("text"), F.lit(1.0), F.lit("context"), F.lit(0.0)),

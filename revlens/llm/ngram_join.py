@@ -310,6 +310,8 @@ def join(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     bands = members.groupBy("comp", "band").agg(F.count("*").alias("k"), F.max("lower").alias("any_lower")).where("k > 1 and any_lower").select("comp", "band", F.ceil(F.col("k") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(bands, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "rep", "n", "size", "tokens", "lower", "block")
+    # by all four keys: rows dealt by (comp, band) already would keep every block pair of a group in one task
+    dealt = dealt.repartition(parts, "comp", "band", "b1", "b2")
     linked = scratch.save(_verify(dealt, num, den), "linked")
     scratch.drop("members", "ordered")
     sums = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))

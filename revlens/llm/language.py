@@ -22,16 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.byte_bpe import LETTER, code_point_classes
+from revlens.llm.folds import least_hashed
 from revlens.llm.textscan import Chunk, chunks
 from revlens.session import Scratch
 
 #: Sampled rows and landmarks per language (those of least id hash).
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 256, 64
+#: Languages at most, the most frequent.
+MAX_LANGUAGES = 500
 #: Letters that are told apart; further ones share the last code.
 LETTERS = 126
 SIDE = LETTERS + 2
@@ -100,8 +102,7 @@ def _gram_sets(sample: DataFrame, letters: np.ndarray) -> DataFrame:
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = 1e-3) -> Model:
     """Learns from ``docs`` (doc_id, text, lang). The driver gets the n-gram sets of ``rows`` texts per language."""
     scratch = Scratch(docs.sparkSession, "language")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    chosen = least_hashed(docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", rows, MAX_LANGUAGES)
     # at most ``rows`` small rows per language
     sample = scratch.save(docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id"), "sample")
     letters = np.sort(np.array([r["point"] for r in _letter_counts(sample).orderBy(F.col("n").desc(), "point").limit(LETTERS).collect()], dtype=np.int64))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.llm.folds import below
 from revlens.llm.textscan import PUNCTUATION, chunks, words
 from revlens.session import Scratch
 
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if not sizes.get(0) or not sizes.get(1):
         base = 40.0 if sizes.get(1) else -40.0
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), drift, 1.0, 1.0, e_max, 0.0, base)
-    picks = [truth.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for t in (0, 1)]
+    picks = [truth.where((F.col("toxic") == t) & below(rows_per_class, sizes[t])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for t in (0, 1)]
     chosen = picks[0].unionByName(picks[1])  # at most 2 * rows_per_class small rows
     sample = scratch.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
     counts = scratch.save(_token_counts(sample), "counts")

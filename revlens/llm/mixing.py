@@ -28,10 +28,10 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.llm.folds import least_hashed
 from revlens.llm.textscan import LOWER, Chunk, chunks, words
 from revlens.session import Scratch
 
@@ -95,12 +95,7 @@ def learn(docs: DataFrame, labelled: DataFrame, rows: int = ROWS_PER_DOMAIN) ->
     """Classifier from ``docs`` (doc_id, text) and ``labelled`` (doc_id, domain)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     truth = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    order = W.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = truth.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).drop("rank")
-    names = sorted(r["domain"] for r in chosen.groupBy("domain").count().orderBy(F.col("count").desc(), "domain").limit(MAX_DOMAINS).collect())
-    if not names:
-        return Mixer(["all"], np.zeros((FEATURES + 1, 1)))
-    chosen = chosen.where(F.col("domain").isin(names))  # at most rows * MAX_DOMAINS small rows
+    chosen = least_hashed(truth, "domain", rows, MAX_DOMAINS).drop("rank")  # at most rows * MAX_DOMAINS small rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):

@@ -4,8 +4,9 @@ In each pass vectors get a key of concatenated random hyperplane signs and are
 sorted by it; blocks of neighbours in that order are compared by cosine in
 double precision, and all verified pairs of all passes are united. Blocks look
 back over a bounded window; where the farthest block of the window still holds
-a link, the next one is compared too, so runs denser than the window are
-compared whole. The number of passes follows from the number of vectors, the
+a link, the next one is compared too, as far as the chunk goes. Rows are dealt
+out in chunks by their rank in the whole order, each with the ranks beside it
+that its windows reach, so the number of partitions changes nothing. The number of passes follows from the number of vectors, the
 window and the recall wanted at the threshold, so recall is the same at every
 size. Equal vectors are collapsed beforehand and counted by weight.
 
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.components import connected_components
 from revlens.session import Scratch
 
-KEY_BITS, BLOCK = 48, 128
+#: A chunk of the order is CHUNK ranks, compared in blocks of BLOCK.
+KEY_BITS, BLOCK, CHUNK = 48, 128, 4096
 
 
 def passes_needed(n: int, threshold: float, window: int, recall: float) -> int:
@@ -44,7 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    schema = "pass int, key long, dims int, rep long, vector array<double>"
+    schema = "pass int, key long, dims int, rep long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(KEY_BITS, dtype=np.int64)[::-1]
@@ -58,42 +60,65 @@ def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 for p in range(passes):
                     planes = np.random.default_rng([seed, p, int(width)]).standard_normal((int(width), KEY_BITS))
                     key = ((data @ planes > 0) * weights).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0), part.column(1)], names=["pass", "key", "dims", "rep", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0)], names=["pass", "key", "dims", "rep"])
 
     return vectors.select("rep", "vector", F.size("vector").alias("dims")).mapInArrow(run, schema)
 
 
-def _linked(ordered: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Pairs within the windows of each partition's order."""
+def _numbered(keyed: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """``keyed`` with ``rank``, the place in the order of its pass and length, whatever the ranges were."""
+    ordered = keyed.repartitionByRange(parts, "pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep")
+    # written once: the ranges of a second evaluation could be others
+    ordered = scratch.save(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    before = Window.partitionBy("pass", "dims").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("pass", "dims", "part").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    starts = starts.select("pass", "dims", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift"))
+    return ordered.join(F.broadcast(starts), ["pass", "dims", "part"]).select("pass", "key", "dims", "rep", (F.col("at") + F.col("shift")).alias("rank"))
+
+
+def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Whole groups of rows equal in the first ``keys`` columns, of batches sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            name = tuple(marks[a].tolist())
+            if held and name != now:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def _linked(numbered: DataFrame, vectors: DataFrame, threshold: float, window: int, parts: int) -> DataFrame:
+    """Pairs within the windows of each order. Chunks of it have the ranks on both sides that their windows reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, history = None, []  # blocks of (ids, unit vectors), latest last
-        blocks_back = max(1, window // BLOCK)
-        for batch in batches:
-            marks = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(2).to_numpy()
-            ids = batch.column(3).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if marks[a] != group:
-                    group, history = marks[a], []
-                unit = _matrix(batch.column(4).slice(a, b - a))
-                for s in range(0, b - a, BLOCK):
-                    own, x = ids[a + s : min(b, a + s + BLOCK)], unit[s : s + BLOCK]
-                    history.append((own, x))
-                    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-                    found, reach = [(own[i], own[j])], 0
-                    for back, (other, y) in enumerate(reversed(history[:-1]), 1):
-                        i, j = np.nonzero(x @ y.T >= threshold)
-                        found.append((own[i], other[j]))
-                        reach = back
-                        if back >= blocks_back and not len(i):
-                            break
-                    del history[: max(0, len(history) - 1 - max(reach, blocks_back))]
-                    u, v = (np.concatenate(z) for z in zip(*found, strict=True))
-                    if len(u):
+        for (_, _, chunk), rows in _together(batches, 3):
+            rank, ids = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+            unit = _matrix(rows.column(6).chunk(0))
+            own = np.searchsorted(rank, [chunk * CHUNK, (chunk + 1) * CHUNK])
+            for a in range(int(own[0]), int(own[1]), BLOCK):
+                b, end = min(int(own[1]), a + BLOCK), a
+                while end > 0 or end == a:
+                    start = max(0, end - (window if end == a else BLOCK))
+                    i, j = np.nonzero(np.tril(unit[a:b] @ unit[start : b if end == a else end].T >= threshold, a - start - 1 if end == a else b))
+                    if len(i):
+                        u, v = ids[a + i], ids[start + j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                    if not start or not (j < BLOCK).any():
+                        break
+                    end = start
 
-    return ordered.mapInArrow(run, "u long, v long")
+    around = F.sequence(F.floor((F.col("rank") - window) / F.lit(CHUNK)), F.floor((F.col("rank") + window) / F.lit(CHUNK)))
+    dealt = numbered.withColumn("chunk", F.explode(around)).where("chunk >= 0").join(vectors.select("rep", "vector"), "rep")
+    dealt = dealt.select("pass", "dims", "chunk", "rank", "key", "rep", "vector").repartition(parts, "pass", "dims", "chunk")
+    return dealt.sortWithinPartitions("pass", "dims", "chunk", "rank").mapInArrow(run, "u long, v long")
 
 
 def dedup(frame: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, window: int = 256, recall: float = 0.995, seed: int = 17) -> DataFrame:
@@ -110,8 +135,8 @@ def dedup(frame: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", t
     n = groups.count()
     passes = passes_needed(n, threshold, window, recall)
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _keyed(groups, passes, seed).repartitionByRange(parts, "pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep")
-    pairs = scratch.save(_linked(ordered, threshold, window).distinct(), "pairs")
+    numbered = _numbered(_keyed(groups, passes, seed), scratch, parts)
+    pairs = scratch.save(_linked(numbered, groups, threshold, window, parts).distinct(), "pairs")
     weights = groups.select("rep", "weight")
     ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
     degree = ends.join(weights.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("weight").alias("linked"))

@@ -177,6 +177,25 @@ def test_embedding_dedup(spark):
     assert (got <= linked.sum(1)).all() and got.sum() >= 0.99 * linked.sum()
 
 
+def test_embedding_dedup_partitions(spark):
+    """A third of the rows in one cone, where nearly all pairs link, cut into one or many ranges."""
+    rng = np.random.default_rng(5)
+    cone = rng.standard_normal(64) + 0.3 * rng.standard_normal((500, 64))
+    vectors = np.concatenate([cone, rng.standard_normal((1000, 64))])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 48):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got[parts] = np.array([r["n_links"] for r in embedding_dedup.dedup(frame).orderBy("vec_id").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    print({k: f"{v.sum()} of {want.sum()}" for k, v in got.items()})
+    assert (got[1] == got[48]).all() and (got[48] <= want).all() and got[48].sum() >= 0.995 * want.sum()
+
+
 def test_toxicity_held_out(spark):
     got = q09_toxicity.run(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}

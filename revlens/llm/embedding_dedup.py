@@ -1,14 +1,19 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass vectors get a key of concatenated random hyperplane signs and are
-sorted by it; blocks of neighbours in that order are compared by cosine in
-double precision, and all verified pairs of all passes are united. Blocks look
-back over a bounded window; where the farthest block of the window still holds
-a link, the next one is compared too, as far as the chunk goes. Rows are dealt
-out in chunks by their rank in the whole order, each with the ranks beside it
-that its windows reach, so the number of partitions changes nothing. The number of passes follows from the number of vectors, the
-window and the recall wanted at the threshold, so recall is the same at every
-size. Equal vectors are collapsed beforehand and counted by weight.
+sorted by it; neighbours in that order are compared by cosine in double
+precision, and all verified pairs of all passes are united. Rows are dealt out
+in chunks by their rank in the whole order, each with the ranks beside it that
+its windows reach, so the number of partitions changes nothing.
+
+How crowded the order is around each row is measured: the leading bits that a
+window of rows at most have in common with it, in each pass, give the chance
+that a pair at the threshold has not met. A pair is met as often as its less
+crowded end says. Rows for which the passes do not reach the recall wanted are
+compared with each other, all pairs in exact blocks, so the recall holds at
+every size and however skewed the vectors are. The number of passes suits
+evenly spread vectors, few of which are crowded then.
+Equal vectors are collapsed beforehand and counted by weight.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; so do vectors of
@@ -29,24 +34,47 @@ from pyspark.sql import functions as F
 from revlens.llm.components import connected_components
 from revlens.session import Scratch
 
-#: A chunk of the order is CHUNK ranks, compared in blocks of BLOCK.
-KEY_BITS, BLOCK, CHUNK = 48, 128, 4096
+#: A chunk of the order is CHUNK ranks, compared in blocks of BLOCK; a block of crowded rows is SIDE rows.
+KEY_BITS, BLOCK, CHUNK, SIDE = 48, 128, 4096, 8192
+SCALE = 10**6
+FOUND = "u long, v long, miss long"
+
+
+def _same(threshold: float) -> float:
+    """Probability that a pair at ``threshold`` has the same sign on a random plane."""
+    return 1 - math.acos(threshold) / math.pi
 
 
 def passes_needed(n: int, threshold: float, window: int, recall: float) -> int:
-    """Passes after which a pair at ``threshold`` has met in some window with probability ``recall``."""
-    same = 1 - math.acos(threshold) / math.pi
-    meet = min(0.999, same ** max(0.0, math.log2(max(n, 1) / window)))
+    """Passes after which a pair at ``threshold`` has met in some window with probability ``recall``, if a bit more than halving isolates a window."""
+    bits = math.ceil(math.log2(n / window)) + 1 if n > window else 0
+    meet = min(0.999, _same(threshold) ** bits)
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def _depths(keys: np.ndarray, window: int) -> np.ndarray:
+    """Leading bits of each of the sorted ``keys`` that at most ``window`` rows share: one more than those any longer run around it has in common."""
+    if len(keys) <= window:
+        return np.zeros(len(keys), dtype=np.int64)
+    common = KEY_BITS - np.frexp((keys[:-window] ^ keys[window:]).astype(np.float64))[1].astype(np.int64)
+    edge = np.full(window, -1, dtype=np.int64)
+    return 1 + np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, common, edge]), window + 1).max(1)
+
+
+def _misses(threshold: float) -> np.ndarray:
+    """By depth: the logarithm of the chance that a pair at ``threshold`` does not share that many bits, in whole units of 1 / SCALE so that sums are exact."""
+    meet = _same(threshold) ** np.arange(KEY_BITS + 2.0)
+    meet[-1] = 0  # more rows than a window have the whole key
+    return np.rint(np.log1p(-np.minimum(meet, 1 - 1e-12)) * SCALE).astype(np.int64)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     width = len(column[0])
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    schema = "pass int, key long, dims int, rep long"
+    schema = "pass int, key long, dims int, rep long, h1 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(KEY_BITS, dtype=np.int64)[::-1]
@@ -60,20 +88,21 @@ def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 for p in range(passes):
                     planes = np.random.default_rng([seed, p, int(width)]).standard_normal((int(width), KEY_BITS))
                     key = ((data @ planes > 0) * weights).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0)], names=["pass", "key", "dims", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0), part.column(3)], names=["pass", "key", "dims", "rep", "h1"])
 
-    return vectors.select("rep", "vector", F.size("vector").alias("dims")).mapInArrow(run, schema)
+    return vectors.select("rep", "vector", F.size("vector").alias("dims"), "h1").mapInArrow(run, schema)
 
 
 def _numbered(keyed: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """``keyed`` with ``rank``, the place in the order of its pass and length, whatever the ranges were."""
-    ordered = keyed.repartitionByRange(parts, "pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep")
+    order = ["pass", "dims", "key", "rep", "h1"]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # written once: the ranges of a second evaluation could be others
     ordered = scratch.save(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
     before = Window.partitionBy("pass", "dims").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.groupBy("pass", "dims", "part").agg(F.min("at").alias("start"), F.count("*").alias("n"))
     starts = starts.select("pass", "dims", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift"))
-    return ordered.join(F.broadcast(starts), ["pass", "dims", "part"]).select("pass", "key", "dims", "rep", (F.col("at") + F.col("shift")).alias("rank"))
+    return ordered.join(F.broadcast(starts), ["pass", "dims", "part"]).select(*order, (F.col("at") + F.col("shift")).alias("rank"))
 
 
 def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -95,30 +124,57 @@ def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
         yield now, pa.Table.from_batches(held).combine_chunks()
 
 
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "miss"])
+
+
 def _linked(numbered: DataFrame, vectors: DataFrame, threshold: float, window: int, parts: int) -> DataFrame:
-    """Pairs within the windows of each order. Chunks of it have the ranks on both sides that their windows reach."""
+    """Pairs (u, v) within the windows of each order, and the miss of each row (rep, h1) there. Chunks have the ranks on both sides that their windows reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        misses = _misses(threshold)
         for (_, _, chunk), rows in _together(batches, 3):
-            rank, ids = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-            unit = _matrix(rows.column(6).chunk(0))
-            own = np.searchsorted(rank, [chunk * CHUNK, (chunk + 1) * CHUNK])
-            for a in range(int(own[0]), int(own[1]), BLOCK):
-                b, end = min(int(own[1]), a + BLOCK), a
-                while end > 0 or end == a:
-                    start = max(0, end - (window if end == a else BLOCK))
-                    i, j = np.nonzero(np.tril(unit[a:b] @ unit[start : b if end == a else end].T >= threshold, a - start - 1 if end == a else b))
-                    if len(i):
-                        u, v = ids[a + i], ids[start + j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-                    if not start or not (j < BLOCK).any():
-                        break
-                    end = start
+            rank, ids, marks = (rows.column(k).to_numpy() for k in (3, 5, 6))
+            unit = _matrix(rows.column(7).chunk(0))
+            first, last = np.searchsorted(rank, [chunk * CHUNK, (chunk + 1) * CHUNK]).tolist()
+            if first == last:
+                continue
+            depth = _depths(rows.column(4).to_numpy(), window)[first:last]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.array(marks[first:last]), pa.array(misses[depth])], names=["u", "v", "miss"])
+            for a in range(first, last, BLOCK):
+                b, start = min(last, a + BLOCK), max(0, a - window)
+                i, j = np.nonzero(np.tril(unit[a:b] @ unit[start:b].T >= threshold, a - start - 1))
+                if len(i):
+                    yield _pairs(ids[a + i], ids[start + j])
 
     around = F.sequence(F.floor((F.col("rank") - window) / F.lit(CHUNK)), F.floor((F.col("rank") + window) / F.lit(CHUNK)))
-    dealt = numbered.withColumn("chunk", F.explode(around)).where("chunk >= 0").join(vectors.select("rep", "vector"), "rep")
-    dealt = dealt.select("pass", "dims", "chunk", "rank", "key", "rep", "vector").repartition(parts, "pass", "dims", "chunk")
-    return dealt.sortWithinPartitions("pass", "dims", "chunk", "rank").mapInArrow(run, "u long, v long")
+    dealt = numbered.withColumn("chunk", F.explode(around)).where("chunk >= 0").join(vectors.select("rep", "h1", "vector"), ["rep", "h1"])
+    dealt = dealt.select("pass", "dims", "chunk", "rank", "key", "rep", "h1", "vector").repartition(parts, "pass", "dims", "chunk")
+    return dealt.sortWithinPartitions("pass", "dims", "chunk", "rank").mapInArrow(run, FOUND)
+
+
+def _compared(crowd: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """All pairs (u, v) of ``crowd``, by pairs of blocks of about SIDE rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, b1, b2), rows in _together(batches, 3):
+            block, ids, unit = rows.column(3).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(5).chunk(0))
+            left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+            own, other = ids[right], unit[right]
+            for s in range(0, len(left), BLOCK):
+                at = left[s : s + BLOCK]
+                i, j = np.nonzero(unit[at] @ other.T >= threshold)
+                if b1 == b2:
+                    i, j = i[at[i] > right[j]], j[at[i] > right[j]]
+                if len(i):
+                    yield _pairs(ids[at[i]], own[j])
+
+    crowd = crowd.withColumn("dims", F.size("vector"))
+    blocks = crowd.groupBy("dims").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("blocks"))
+    dealt = crowd.join(F.broadcast(blocks), "dims").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("dims", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "vector")
+    return dealt.repartition(parts, "dims", "b1", "b2").sortWithinPartitions("dims", "b1", "b2").mapInArrow(run, FOUND)
 
 
 def dedup(frame: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, window: int = 256, recall: float = 0.995, seed: int = 17) -> DataFrame:
@@ -136,7 +192,10 @@ def dedup(frame: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", t
     passes = passes_needed(n, threshold, window, recall)
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = _numbered(_keyed(groups, passes, seed), scratch, parts)
-    pairs = scratch.save(_linked(numbered, groups, threshold, window, parts).distinct(), "pairs")
+    found = scratch.save(_linked(numbered, groups, threshold, window, parts), "found")
+    missed = found.where("miss is not null").groupBy(F.col("u").alias("rep"), F.col("v").alias("h1")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > round(math.log(1 - recall) * SCALE))
+    crowd = scratch.save(groups.join(missed, ["rep", "h1"], "left_semi").select("rep", "vector"), "crowd")
+    pairs = scratch.save(found.where("miss is null").unionByName(_compared(crowd, threshold, parts)).select("u", "v").distinct(), "pairs")
     weights = groups.select("rep", "weight")
     ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
     degree = ends.join(weights.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("weight").alias("linked"))

@@ -196,6 +196,38 @@ def test_embedding_dedup_partitions(spark):
     assert (got[1] == got[48]).all() and (got[48] <= want).all() and got[48].sum() >= 0.995 * want.sum()
 
 
+def test_embedding_dedup_skewed(spark):
+    """A third of the rows in a cone of pairwise cosine 0.8 that sign bits hardly split, with planted pairs just above the threshold."""
+    rng = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    axis = unit(rng.standard_normal(64))
+    side = rng.standard_normal((6000, 64))
+    side = unit(side - np.outer(side @ axis, axis))
+    turn = rng.standard_normal((400, 64))
+    turn -= np.outer(turn @ axis, axis)
+    turn = unit(turn - (turn * side[:400]).sum(1, keepdims=True) * side[:400])
+    side[400:800] = 0.55 * side[:400] + np.sqrt(1 - 0.55**2) * turn
+    vectors = np.concatenate([np.sqrt(0.8) * axis + np.sqrt(0.2) * side, unit(rng.standard_normal((12000, 64)))])
+    linked = vectors @ vectors.T >= 0.9
+    np.fill_diagonal(linked, False)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in embedding_dedup.dedup(frame).orderBy("vec_id").collect()])
+    print(f"{got.sum()} of {linked.sum()}")
+    assert (got <= linked.sum(1)).all() and got.sum() >= 0.995 * linked.sum() and linked.sum() >= 800
+
+
+def test_embedding_depths():
+    rng = np.random.default_rng(7)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 48, 300), rng.integers(0, 1 << 20, 100), np.full(30, 77)]))
+    got = embedding_dedup._depths(keys, 16)
+    for k, depth in zip(keys, got, strict=True):
+        shared = [((keys >> (48 - bits)) == (k >> (48 - bits))).sum() for bits in range(49)]
+        assert depth == next((bits for bits, n in enumerate(shared) if n <= 16), 49)
+
+
 def test_toxicity_held_out(spark):
     got = q09_toxicity.run(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}

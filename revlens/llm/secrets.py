@@ -3,7 +3,8 @@
 Base kinds are found by regular expressions, leftmost and non-overlapping, and
 keep their spans whatever the corpus says. The method adds spans of kind
 ``rare``: long runs that mix letters and digits, do not overlap a base span,
-and whose value one owner alone uses. Values are hashed; hashes are counted by
+and whose value one owner alone uses, in no more repositories than a bound if
+one is given. Values are hashed; hashes are counted by
 distinct repositories and owners with partial aggregation before each shuffle,
 and every candidate is then known to be a widely copied example or an
 owner-specific, live-looking credential.
@@ -58,10 +59,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 1) -> DataFrame:
-    """One row per input row: doc_id, base (array), rare (array), and how many secrets are owner-specific or shared.
+def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repositories: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, base (array), rare (array), how many secrets are owner-specific or shared, and ``n_repositories``.
 
-    A value is owner-specific if at most ``max_owners`` distinct owners hold it.
+    A value is owner-specific if at most ``max_owners`` distinct owners hold it, in at most ``max_repositories`` distinct
+    repositories, each an owner's own; None sets no bound. ``n_repositories`` is the most that hold one value of the row.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     base = frame.select(
@@ -80,14 +82,17 @@ def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repositor
     owners = owners.groupBy("secret").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
     judged = spans.select(*key, "span", "secret").join(owners, "secret")
     live = F.col("n_owners") <= max_owners
-    verdicts = judged.groupBy(*key, "span").agg(F.max(live.cast("int")).alias("live")).groupBy(*key).agg(
+    if max_repositories is not None:
+        live = live & (F.col("n_repositories") <= max_repositories)
+    verdicts = judged.groupBy(*key, "span").agg(F.max(live.cast("int")).alias("live"), F.max("n_repositories").alias("n_repositories")).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when((F.col("span.kind") == "rare") & (F.col("live") == 1), F.col("span")))).alias("rare"),
         F.sum(F.when((F.col("span.kind") != "rare") & (F.col("live") == 1), 1).otherwise(0)).alias("n_live"),
         F.sum(F.when((F.col("span.kind") != "rare") & (F.col("live") == 0), 1).otherwise(0)).alias("n_shared"),
+        F.max("n_repositories").alias("n_repositories"),
     )
     verdicts = verdicts.withColumnRenamed("doc_id", "v_id").withColumnRenamed("digest", "v_digest")
     out = base.join(verdicts, base["doc_id"].eqNullSafe(verdicts["v_id"]) & (base["digest"] == verdicts["v_digest"]), "left")
-    return out.select("doc_id", *[k for k, *_ in BASE_KINDS], "base", F.coalesce("rare", F.filter("base", lambda s: F.lit(False))).alias("rare"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return out.select("doc_id", *[k for k, *_ in BASE_KINDS], "base", F.coalesce("rare", F.filter("base", lambda s: F.lit(False))).alias("rare"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_repositories", F.lit(0)).alias("n_repositories"))
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -60,6 +60,15 @@ def test_secret_ownership(spark):
     assert got[4]["spans"] == "assign:10:28" and got[5]["spans"] == "access:25:45"
 
 
+def test_secret_repositories(spark):
+    fresh, copied = "K9" * 14 + "zq", "Ab1" * 10
+    rows = [(k, f"see {copied} token: {copied[:8]}xyz", "o1") for k in range(3)]
+    frame = spark.createDataFrame([*rows, rows[0], (7, f"see {fresh}", "o1"), (8, "nothing", "o2")], "doc_id long, text string, source string")
+    told = {r["doc_id"]: (len(r["rare"]), r["n_live"], r["n_shared"], r["n_repositories"]) for r in secrets.scan(frame, max_repositories=2).collect()}
+    assert told == {0: (0, 0, 1, 3), 1: (0, 0, 1, 3), 2: (0, 0, 1, 3), 7: (1, 0, 0, 1), 8: (0, 0, 0, 0)}
+    assert all(r["n_live"] == 1 and len(r["rare"]) == 1 for r in secrets.scan(frame).where("doc_id < 7").collect())
+
+
 def test_line_dedup(messy, nothing, spark):
     got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup(messy).collect()}
     assert (2, None, 0) in got and (3, "", 0) in got

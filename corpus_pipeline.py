@@ -33,19 +33,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows; n_chars follows the text."""
-    done = line_dedup.dedup(docs)
+    done = line_dedup.dedup(docs, by_text=True)
     emptied = (F.col("n_removed") > 0) & (F.length("text") == 0)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.where(~emptied).withColumn("n_chars", changed).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of least id, once; documents without id stay."""
+    """Keeps of each group of linked documents the one of least id, once. Id and text together are a document, nulls alike and last."""
     ship(spark)
-    joined = ngram_join.join(docs, n=5, num=4, den=5)
-    dropped = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    named = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
+    joined = ngram_join.join(named.drop("doc_id"), doc_id="_doc", n=5, num=4, den=5).select(F.col("doc_id").alias("_doc"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_doc")).alias("first")
+    kept = named.select("_doc", "doc_id").join(joined, "_doc").groupBy("component_id").agg(first).select(F.col("first._doc").alias("_doc"))
+    return named.join(kept, "_doc", "left_semi").dropDuplicates(["_doc"]).select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,16 +37,17 @@ def _windows(lines: str, width: int) -> Column:
     return F.filter(F.transform(zipped, at), lambda w: ~w["blank"])
 
 
-def dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
-    """``frame`` with its text deduplicated, ``n_lines`` and ``n_removed`` (long)."""
+def dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, by_text: bool = False) -> DataFrame:
+    """``frame`` with its text deduplicated, ``n_lines`` and ``n_removed`` (long). ``by_text``: texts that share an id are documents of their own."""
+    place = ["_id", "line", "_digest"] if by_text else ["_id", "line"]
     keyed = frame.select("*", F.xxhash64(text).alias("_digest"))
     # a generator of one row keeps the optimizer from splitting the text anew for every line
     split = keyed.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), "_digest", F.explode(F.array(_lines(F.col(text)))).alias("_lines"))
     places = split.select("_id", "_digest", F.explode(_windows("_lines", width)).alias("w"))
     # read twice below: once for the first places, once for the later ones
     places = Scratch(frame.sparkSession, "lines").save(places.select("_id", "_digest", F.col("w.line").alias("line"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")), "places")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("_id", "line")).alias("first"), F.max(F.struct("_id", "line")).alias("last")).where(F.col("first") != F.col("last")).drop("last")
-    later = places.join(first, ["h1", "h2"]).where(~F.struct("_id", "line").eqNullSafe(F.col("first")))
+    first = places.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last")).where(F.col("first") != F.col("last")).drop("last")
+    later = places.join(first, ["h1", "h2"]).where(~F.struct(*place).eqNullSafe(F.col("first")))
     covered = later.groupBy("_id", "_digest", "line").agg(F.lit(1).alias("_one")).groupBy("_id", "_digest").agg(F.collect_list("line").alias("_starts"))
     covered = covered.select(F.col("_id").alias("_c_id"), F.col("_digest").alias("_c_digest"), "_starts")
     joined = keyed.join(covered, F.col(doc_id).eqNullSafe(F.col("_c_id")) & (F.col("_digest") == F.col("_c_digest")), "left")

@@ -291,6 +291,19 @@ def test_media_recall(spark):
     assert found <= truth and len(found) >= 0.9 * len(truth)
 
 
+def test_pipeline_identity(spark):
+    """Ids that are null or shared by several texts."""
+    rng = random.Random(8)
+    a, b, c, d = (_prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b + " end"), (None, c), (None, c), (None, d), (3, d + " end"), (4, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, frame, SMALL).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (None, c), (3, d + " end"), (4, None), (4, "")], key=str)
+    for same in (5, None):
+        lines = spark.createDataFrame([(same, "a\nb\nc\nx", 7), (same, "a\nb\nc\ny", 7)], "doc_id long, text string, n_chars long")
+        assert sorted(len(r["text"]) for r in corpus_pipeline.cut_repeated_lines(spark, lines, SMALL).collect()) == [1, 7]
+
+
 def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     raw = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()

@@ -10,6 +10,8 @@ from revlens.session import Scratch
 
 #: What makes two spans the same place; the text is no part of it.
 SPAN_KEY = ["block_id", "line_id", "span_id", "x0", "y0", "x1", "y1"]
+#: Edges of a drawing that are folded in one row; a drawing with more is assigned in rounds.
+FOLD_EDGES = 2000
 
 
 def ordered_edges(edges: DataFrame) -> DataFrame:
@@ -55,9 +57,22 @@ def dominant(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         taken = best if taken is None else taken.unionByName(best)
         rest = left.join(best.select("drawing_id", "char_no"), ["drawing_id", "char_no"], "left_anti").join(best.select("drawing_id", *SPAN_KEY), ["drawing_id", *SPAN_KEY], "left_anti")
         left = scratch.save(rest, f"left{k + 1}")
+    else:
+        raise RuntimeError(f"edges are left after {rounds} rounds")
     return (taken if taken is not None else left).select("drawing_id", "char_no", "cand_rank")
 
 
-def matches(candidates: DataFrame) -> DataFrame:
-    """Candidates that were assigned."""
-    return candidates.join(greedy(candidates), ["drawing_id", "char_no", "cand_rank"])
+def assigned(edges: DataFrame, fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """Accepted edges: small drawings by :func:`greedy`, those with more than ``fold_edges`` edges by :func:`dominant`. ``edges`` is read twice."""
+    large = edges.groupBy("drawing_id").agg(F.count("*").alias("n")).where(F.col("n") > fold_edges).select("drawing_id")
+    if large.isEmpty():
+        return greedy(edges)
+    large = Scratch(edges.sparkSession, "assignment").save(large, "large")
+    return greedy(edges.join(large, "drawing_id", "left_anti")).unionByName(dominant(edges.join(large, "drawing_id", "left_semi")))
+
+
+def matches(candidates: DataFrame, written: bool = False) -> DataFrame:
+    """Candidates that were assigned. They are read more than once, so they are written first unless they are a table already."""
+    if not written:
+        candidates = Scratch(candidates.sparkSession, "assignment").save(candidates, "candidates")
+    return candidates.join(assigned(candidates), ["drawing_id", "char_no", "cand_rank"])

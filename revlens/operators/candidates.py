@@ -89,13 +89,12 @@ def top_candidates(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     return pairs.withColumn("cand_rank", F.row_number().over(order)).where(F.col("cand_rank") <= k)
 
 
-def all_pairs(anchors: DataFrame, spans: DataFrame, transforms: DataFrame) -> DataFrame:
-    """Scored pairs of anchors and spans within the search radius."""
+def all_pairs(anchors: DataFrame, places: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Scored pairs of anchors and spans within the search radius. ``places`` are spans with their contexts."""
     tokens = X.with_tokens(predicted(anchors, transforms), "requirement", "a_")
     kept = ["drawing_id", "char_no", "anchor_ord", "px", "py", "requirement", "context_words", "a_counts", "a_symbols", "a_numbers", "a_kind"]
-    places = span_contexts(spans).drop("s_norm", "s_words")
-    return scored(within_radius(tokens.select(*kept), places))
+    return scored(within_radius(tokens.select(*kept), places.drop("s_norm", "s_words")))
 
 
 def candidates(anchors: DataFrame, spans: DataFrame, transforms: DataFrame, k: int = TOP_K) -> DataFrame:
-    return top_candidates(all_pairs(anchors, spans, transforms), k)
+    return top_candidates(all_pairs(anchors, span_contexts(spans), transforms), k)

@@ -13,10 +13,12 @@ FALLBACK_RADIUS, LEAST_DISTANCE = 200.0, 10.0
 
 
 def adjacent(boxes: DataFrame, spans: DataFrame, line: float = LINE) -> DataFrame:
-    """Spans on the line of each box (drawing_id, item, x0..y1), as ``s`` rows in span order."""
-    sp = spans.select("drawing_id", "span_ord", *G.named(G.box(), "s"))
+    """Spans on the line of each box (drawing_id, item, x0..y1), as ``s`` rows. Lines are cells twice as high as ``line``, of which a box touches two at most."""
+    cell = lambda c: F.floor(c / F.lit(2 * line))
+    sp = spans.select("drawing_id", "span_ord", *G.named(G.box(), "s")).withColumn("_line", cell((F.col("sy0") + F.col("sy1")) / 2))
     cy, height = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
-    return boxes.join(sp, "drawing_id").where(G.same_line(G.box("s"), cy, height, line))
+    boxes = boxes.select("*", F.explode(F.array_distinct(F.array(cell(cy - line), cell(cy + line)))).alias("_line"))
+    return boxes.join(sp, ["drawing_id", "_line"]).drop("_line").where(G.same_line(G.box("s"), cy, height, line))
 
 
 def expanded(boxes: DataFrame, spans: DataFrame, gap: float = GAP, line: float = LINE, growth: float = GROWTH) -> DataFrame:
@@ -100,16 +102,14 @@ def registered(chain, table, query):
     CTES["expanded_b"] = "expanded_b AS (SELECT drawing_id, item, len(kept) AS n_included, e0, least(y0, coalesce(list_min(list_transform(list_filter(kept, lambda k: k.x1 >= e0 AND k.x0 <= e2), lambda k: k.y0)), y0)) AS e1, e2, greatest(y1, coalesce(list_max(list_transform(list_filter(kept, lambda k: k.x1 >= e0 AND k.x0 <= e2), lambda k: k.y1)), y1)) AS e3 FROM folded)"
     boxes = lambda s, d: table(s, d, "spans_b").select("drawing_id", F.col("span_ord").alias("item"), *G.CORNERS)
 
-    def regions(s, d):
-        c = chain(s, d)
-        return evidence(c.items(), c.once("anchors", c.anchors), c.t("spans_a"), c.t("spans_b"))
+    regions = lambda s, d: chain(s, d).regions()
 
     return {
         "J9_adjacent_spans": (lambda s, d: adjacent(boxes(s, d), table(s, d, "spans_b")).select("drawing_id", "item", "span_ord"), query("SELECT drawing_id, item, span_ord FROM line_pairs")),
         "I2_bbox_fold": (lambda s, d: expanded(boxes(s, d), table(s, d, "spans_b")).select("drawing_id", "item", *[r(f"e{i}").alias(f"e{i}") for i in range(4)], F.col("n_included").cast("long").alias("n_included")), query("SELECT drawing_id, item, round(e0, 6) AS e0, round(e1, 6) AS e1, round(e2, 6) AS e2, round(e3, 6) AS e3, n_included FROM expanded_b")),
         "J10_fallback_span": (lambda s, d: fallback_spans(chain(s, d).linked(), table(s, d, "spans_a")).select("drawing_id", "char_no", "span_ord", r("value").alias("value")), query("SELECT drawing_id, char_no, span_ord, round(value, 6) AS value FROM fallback")),
         "F10_fallback_radius": (lambda s, d: fallback_spans(chain(s, d).linked(), table(s, d, "spans_a")).select("drawing_id", "char_no"), query("SELECT drawing_id, char_no FROM fallback")),
-        "J8_item_anchor": (lambda s, d: (lambda c: c.items().join(c.once("anchors", c.anchors).select("drawing_id", "char_no", "page"), ["drawing_id", "char_no"], "left").select("drawing_id", "is_added", "char_no", "page"))(chain(s, d)), query("SELECT i.drawing_id, is_added, i.char_no, page FROM all_items i LEFT JOIN anchors a ON a.drawing_id = i.drawing_id AND a.char_no = i.char_no")),
+        "J8_item_anchor": (lambda s, d: (lambda c: c.items().join(c.anchors().select("drawing_id", "char_no", "page"), ["drawing_id", "char_no"], "left").select("drawing_id", "is_added", "char_no", "page"))(chain(s, d)), query("SELECT i.drawing_id, is_added, i.char_no, page FROM all_items i LEFT JOIN anchors a ON a.drawing_id = i.drawing_id AND a.char_no = i.char_no")),
         "E1_evidence_builder": (lambda s, d: regions(s, d).select("drawing_id", "is_added", "char_no", *[r(f"ea{i}").alias(f"ea{i}") for i in range(4)], *[r(f"eb{i}").alias(f"eb{i}") for i in range(4)]), _evidence_sql(query, CTES, D)),
     }
 

@@ -91,7 +91,8 @@ def registered(chain, table, query):
     from revlens.plans.oracle import CTES
 
     def cells(s, d):
-        return s.sql(CELLS.replace("FROM items", "FROM {items}"), items=table(s, d, "items"))
+        c = chain(s, d)
+        return c.once("cells", lambda: s.sql(CELLS.replace("FROM items", "FROM {items}"), items=c.t("items")))
 
     CTES["cells"] = f"cells AS ({CELLS})"
     CTES["chosen"] = "chosen AS (SELECT * FROM cells JOIN (SELECT drawing_id, arg_min(sheet, sheet_ord) AS sheet FROM cells WHERE contains(sheet, 'Form3') OR contains(sheet, 'F3') GROUP BY drawing_id) USING (drawing_id, sheet))"
@@ -100,10 +101,11 @@ def registered(chain, table, query):
     CTES["form_rows"] = "form_rows AS (SELECT *, sum(CASE WHEN trim(coalesce(char_no, '')) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id ORDER BY row_no) AS ended FROM (SELECT drawing_id, row_no, " + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f, *_ in FIELDS) + ", max(vtype) FILTER (field = 'char_no') AS vtype FROM chosen JOIN mapped USING (drawing_id, col) WHERE row_no > 6 GROUP BY drawing_id, row_no))"
     CTES["coerced"] = "coerced AS (SELECT drawing_id, row_no AS row_ord, CASE WHEN vtype = 'n' THEN trunc(try_cast(char_no AS DOUBLE))::INT WHEN regexp_full_match(trim(char_no), '[+-]?[0-9]+') THEN trim(char_no)::INT END AS char_no, trim(reference_location) AS reference_location, trim(characteristic_designator) AS characteristic_designator, trim(requirement) AS requirement FROM form_rows WHERE ended = 0)"
     sheet = lambda s, d: cells(s, d).join(selected_sheets(cells(s, d)), ["drawing_id", "sheet"])
+    coerced = lambda s, d: chain(s, d).once("characteristics", lambda: characteristics(cells(s, d)))
     return {
         "S2_sheet_select": (lambda s, d: selected_sheets(cells(s, d)), query("SELECT DISTINCT drawing_id, sheet FROM chosen")),
         "S3_header_map": (lambda s, d: header_map(sheet(s, d)), query("SELECT drawing_id, field, col FROM mapped")),
         "S4_row_scan": (lambda s, d: data_rows(sheet(s, d)).select("drawing_id", "row_no", "char_no"), query("SELECT drawing_id, row_no, char_no FROM form_rows WHERE ended = 0")),
-        "S5_cell_coerce": (lambda s, d: characteristics(cells(s, d)), query("SELECT * FROM coerced WHERE char_no IS NOT NULL")),
-        "S6_debug_json": (lambda s, d: debug_json(characteristics(cells(s, d))).select("drawing_id", F.length("json").cast("long").alias("n_chars")), query("""SELECT drawing_id, sum(length(concat('{"char_no":', char_no, ',"reference_location":"', reference_location, '","characteristic_designator":"', characteristic_designator, '","requirement":"', requirement, '"}')) + 1)::BIGINT + 1 AS n_chars FROM coerced WHERE char_no IS NOT NULL GROUP BY drawing_id""")),
+        "S5_cell_coerce": (coerced, query("SELECT * FROM coerced WHERE char_no IS NOT NULL")),
+        "S6_debug_json": (lambda s, d: debug_json(coerced(s, d)).select("drawing_id", F.length("json").cast("long").alias("n_chars")), query("""SELECT drawing_id, sum(length(concat('{"char_no":', char_no, ',"reference_location":"', reference_location, '","characteristic_designator":"', characteristic_designator, '","requirement":"', requirement, '"}')) + 1)::BIGINT + 1 AS n_chars FROM coerced WHERE char_no IS NOT NULL GROUP BY drawing_id""")),
     }

@@ -53,11 +53,7 @@ ITEM_SCHEMA = "run_id string, inputs map<string,string>, items array<struct<char
 
 
 def registered(chain, table, query):
-    from revlens.operators.evidence import evidence
-
-    def rows(s, d):
-        c = chain(s, d)
-        return evidence(c.items(), c.once("anchors", c.anchors), c.t("spans_a"), c.t("spans_b"))
+    rows = lambda s, d: chain(s, d).regions()
 
     def packed(s, d):
         inputs = F.create_map(F.lit("revA"), F.lit("a.pdf"), F.lit("revB"), F.lit("b.pdf"))

@@ -15,9 +15,8 @@ from revlens.functions import geometry as G
 from revlens.functions import text as X
 from revlens.operators import alignment, anchors, assignment, balloons, candidates, classification, evidence, form3, packets
 from revlens.plans import cases, oracle
-from revlens.plans.demo import table
+from revlens.plans.demo import once, table
 from revlens.plans.oracle import D, query
-from revlens.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -35,49 +34,55 @@ def r6(c: Column | str) -> Column:
 
 
 class Chain:
-    """The reconciliation chain over the derived drawings; each step is built when it is asked for.
+    """The reconciliation chain over the derived drawings.
 
-    Anchors and matches, which later steps read more than once, are written
-    tables: the plan stays small and a lost executor does not start it over.
+    Each step that later ones read is a table written once per application and
+    folder: plans stay small, queries share the steps, and a lost executor does
+    not start the chain over.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.t = lambda name: table(spark, sf_dir, name)
-        self.spark, self.saved = spark, {}
-
-    def once(self, name: str, frame: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self.saved:
-            self.saved[name] = Scratch(self.spark, "chain").save(frame(), name)
-        return self.saved[name]
+        self.once = lambda name, frame: once(spark, sf_dir, name, frame)
 
     def balloons(self) -> DataFrame:
-        return balloons.dedupe(self.t("hits"))
+        return self.once("balloons", lambda: balloons.dedupe(self.t("hits")))
 
     def linked(self) -> DataFrame:
-        return anchors.ballooned(self.t("form3"), self.balloons())
+        return self.once("linked", lambda: anchors.ballooned(self.t("form3"), self.balloons()))
+
+    def boxes(self) -> DataFrame:
+        """Spans of the old revision with the balloon and the transform of their row."""
+        b = self.balloons().select("drawing_id", F.col("char_no").alias("span_ord"), *G.named(G.box(), "b"))
+        return self.once("boxes", lambda: self.t("spans_a").join(self.t("transforms"), "drawing_id").join(b, ["drawing_id", "span_ord"], "left"))
 
     def anchors(self) -> DataFrame:
-        return anchors.build_anchors(self.t("form3"), self.balloons(), self.t("spans_a"))
+        return self.once("anchors", lambda: anchors.build_anchors(self.t("form3"), self.balloons(), self.t("spans_a")))
+
+    def places(self) -> DataFrame:
+        return self.once("places", lambda: candidates.span_contexts(self.t("spans_b")))
 
     def pairs(self) -> DataFrame:
-        known = self.saved.get("anchors")
-        return candidates.all_pairs(known if known is not None else self.anchors(), self.t("spans_b"), self.t("transforms"))
+        return self.once("pairs", lambda: candidates.all_pairs(self.anchors(), self.places(), self.t("transforms")))
 
     def cands(self) -> DataFrame:
-        return candidates.top_candidates(self.pairs())
+        return self.once("cands", lambda: candidates.top_candidates(self.pairs()))
 
     def matched(self) -> DataFrame:
-        return assignment.matches(self.cands())
+        return self.once("matched", lambda: assignment.matches(self.cands(), written=True))
 
     def classes(self) -> DataFrame:
-        return classification.classify(self.once("anchors", self.anchors), self.once("matched", self.matched))
+        return self.once("classes", lambda: classification.classify(self.anchors(), self.matched()))
 
     def added(self) -> DataFrame:
-        return classification.added(self.t("spans_b"), self.once("matched", self.matched), self.once("anchors", self.anchors))
+        return self.once("added", lambda: classification.added(self.t("spans_b"), self.matched(), self.anchors()))
 
     def items(self) -> DataFrame:
         return classification.items(self.classes(), self.added())
 
+    def regions(self) -> DataFrame:
+        return self.once("regions", lambda: evidence.evidence(self.items(), self.anchors(), self.t("spans_a"), self.t("spans_b")))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many characteristics were unchanged, changed, removed, uncertain or added."""
@@ -110,12 +115,6 @@ for _name, (_col, _sql) in _PARTS.items():
 _BOXES = "SELECT s.drawing_id, s.span_ord, s.x0, s.y0, s.x1, s.y1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, h00, h01, h02, h10, h11, h12, h20, h21, h22 FROM spans_a s JOIN transforms USING (drawing_id) LEFT JOIN balloons b ON b.drawing_id = s.drawing_id AND b.char_no = s.span_ord"
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Chain(spark, sf_dir)
-    b = c.balloons().select("drawing_id", F.col("char_no").alias("span_ord"), *G.named(G.box(), "b"))
-    return c.t("spans_a").join(c.t("transforms"), "drawing_id").join(b, ["drawing_id", "span_ord"], "left")
-
-
 _S, _B = (lambda: G.box()), (lambda: G.box("b"))
 _H = lambda: [F.col(h) for h in candidates.HOMOGRAPHY]
 _PX = "(h00 * {x} + h01 * {y} + h02) / (h20 * {x} + h21 * {y} + h22)"
@@ -167,7 +166,7 @@ _GEO: dict[str, tuple[Callable[[], list[Column]], list[str]]] = {
 for _name, (_cols, _sqls) in _GEO.items():
     _add(
         _name,
-        lambda s, d, cols=_cols: _boxes(s, d).where("bx0 is not null").select("drawing_id", "span_ord", *[r6(c).alias(f"v{i}") for i, c in enumerate(cols())]),
+        lambda s, d, cols=_cols: Chain(s, d).boxes().where("bx0 is not null").select("drawing_id", "span_ord", *[r6(c).alias(f"v{i}") for i, c in enumerate(cols())]),
         query(f"SELECT drawing_id, span_ord, {', '.join(f'round({q}, 6) AS v{i}' for i, q in enumerate(_sqls))} FROM ({_BOXES}) WHERE bx0 IS NOT NULL"),
     )
 
@@ -239,7 +238,7 @@ for _name, _cols in {
     "M5_primary_match": ["primary_match"], "M6_primary_penalty": ["primary_penalty"], "M7_class_match": ["class_match"], "M8_text_score": ["text_score"], "M9_context_score": ["context_score"], "M10_total_score": ["total_score"], "A4_primary_value": ["a_primary", "s_primary"],
 }.items():
     _add(_name, lambda s, d, cols=_cols: Chain(s, d).pairs().select(*_PAIR, *[r6(c).alias(c) for c in cols]), query(f"SELECT {', '.join(_PAIR)}, {', '.join(f'round({c}, 6) AS {c}' for c in _cols)} FROM pairs"))
-_context = lambda s, d: candidates.span_contexts(table(s, d, "spans_b"))
+_context = lambda s, d: Chain(s, d).places()
 _add("J5_candidate_context", lambda s, d: _context(s, d).select("drawing_id", "span_ord", F.size("near_words").alias("n_words")), query("SELECT drawing_id, span_ord, len(near_words)::INT AS n_words FROM places"))
 _add("A6_token_union", lambda s, d: _context(s, d).select("drawing_id", "span_ord", F.array_join("near_words", " ").alias("words")), query("SELECT drawing_id, span_ord, array_to_string(near_words, ' ') AS words FROM places"))
 _add("F6_context_window", lambda s, d: _context(s, d).where(F.size("near_words") > 0).select("drawing_id", "span_ord"), query("SELECT DISTINCT drawing_id, span_ord FROM span_near WHERE dist > 0 AND dist <= 50"))

@@ -6,6 +6,8 @@ integer arithmetic, so both engines derive the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from revlens.session import Scratch
@@ -63,17 +65,36 @@ SELECT drawing_id,
 TABLES = {"items": ITEMS, "placed": PLACED, "form3": FORM3, "hits": HITS, "spans_a": SPANS_A, "spans_b": SPANS_B, "transforms": TRANSFORMS}
 
 
-_ITEMS: dict[tuple[str, str], DataFrame] = {}
+_SAVED: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the sources are now: sizes and times of their files."""
+    conf, Path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in ("lineitem", "part"):
+        path = Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[], DataFrame]) -> DataFrame:
+    """``frame()`` as a table written once per application, folder and state of its sources, for all queries that read it."""
+    key = spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name
+    if key not in _SAVED:
+        _SAVED[key] = Scratch(spark, "derived").save(frame(), name)
+    return _SAVED[key]
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered order rows: written once per application and folder, since every derived table reads them."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _ITEMS:
+    """Numbered order rows, which every derived table reads."""
+
+    def rows() -> DataFrame:
         sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
-        rows = spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **sources)
-        _ITEMS[key] = Scratch(spark, "items").save(rows, "items")
-    return _ITEMS[key]
+        return spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **sources)
+
+    return once(spark, sf_dir, "items", rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

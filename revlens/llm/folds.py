@@ -1,5 +1,7 @@
 """The split between rows that models learn from and rows held out."""
 
+from __future__ import annotations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,21 +12,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def below(rows: int, count: int) -> Column:
-    """True for ids whose hash is among the least: a share that holds about four times ``rows`` of ``count`` rows.
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What makes two rows the same to a sample: id and text, nulls alike."""
+    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+
+
+def least_hashed(rows: DataFrame, group: str, limit: int, groups: int) -> DataFrame:
+    """Of each value of ``group``, the ``limit`` least distinct values of ``key`` (a hash), as group, ``key`` and ``rank``.
 
-    Ranking then sees a bounded number of rows, whatever the number of tasks,
-    and finds the rows it would have found among all.
+    Repeated keys count once, so rows that share an id or repeat take no other
+    row's place. Only hashes below a threshold are ranked, set for each value so
+    that about four times ``limit`` distinct ones pass; a value of few distinct
+    keys has all of them ranked. More than ``groups`` values is an error: none
+    is left out, and what this returns has ``limit * groups`` small rows at most.
     """
-    share = 1.0 if count <= 16 * rows else 4.0 * rows / count
-    return F.lit(True) if share >= 1 else F.xxhash64("doc_id") < F.lit(int(-(1 << 63) + share * (1 << 64)))
-
-
-def least_hashed(frame: DataFrame, group: str, rows: int, groups: int) -> DataFrame:
-    """Of each of the ``groups`` most frequent values of ``group``, the ``rows`` rows of least id hash, with their ``rank``."""
-    counts = frame.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), group).limit(groups).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col(group) == r[group]) & below(rows, r["n"]))
-    order = W.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return frame.where(chosen).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    rows = rows.where(F.col(group).isNotNull()).select(group, "key")
+    counts = rows.groupBy(group).agg(F.approx_count_distinct("key").alias("n")).limit(groups + 1).collect()
+    if len(counts) > groups:
+        raise ValueError(f"more than {groups} values of {group}")
+    tops = [(r[group], (1 << 63) - 1 if r["n"] <= 16 * limit else int(-(1 << 63) + 4 * limit / r["n"] * (1 << 64))) for r in counts]
+    tops = rows.sparkSession.createDataFrame(tops, f"{group} {rows.schema[group].dataType.simpleString()}, top long")
+    few = rows.join(F.broadcast(tops), group).where(F.col("key") <= F.col("top")).groupBy(group, "key").agg(F.lit(1).alias("one"))
+    order = W.partitionBy(group).orderBy("key")
+    return few.select(group, "key", F.row_number().over(order).alias("rank")).where(F.col("rank") <= limit)

@@ -9,7 +9,8 @@ texts is scored by one product of its presence matrix with the landmark
 expansion.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; with nothing to learn from every text is. Equal scores take the first
+0; with nothing to learn from every text is; more than ``MAX_LANGUAGES`` languages
+are an error. Equal scores take the first
 language in code order. Rows whose language is null are not learned from.
 Repeated rows are scored alike; columns of the frame pass through.
 """
@@ -26,23 +27,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.byte_bpe import LETTER, code_point_classes
-from revlens.llm.folds import least_hashed
+from revlens.llm.folds import least_hashed, row_key
 from revlens.llm.textscan import Chunk, chunks
 from revlens.session import Scratch
 
-#: Sampled rows and landmarks per language (those of least id hash).
+#: Sampled rows and landmarks per language (distinct rows of least hash).
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 256, 64
-#: Languages at most, the most frequent.
+#: Landmarks of all languages together; many languages share them evenly.
+LANDMARKS = 4096
+#: Languages that are learned; more is an error, since the model of each is kept by the driver and every worker.
 MAX_LANGUAGES = 500
-#: Letters that are told apart; further ones share the last code.
-LETTERS = 126
-SIDE = LETTERS + 2
-SPECTRUM = SIDE**3 + SIDE**2 + SIDE
+#: Bits of a code point in an n-gram's code, and what stands where a shorter n-gram has none.
+BITS, ONE, TWO = 21, 0x1FFFFE, 0x1FFFFF
+#: Cells of a direct table of n-grams; a model with more letters looks its n-grams up by search.
+TABLE = 1 << 24
+#: Cells of a presence matrix.
+CELLS = 1 << 24
 
 
 @dataclass(frozen=True)
 class Model:
-    letters: np.ndarray  # code points, ascending
     grams: np.ndarray  # codes of the landmarks' n-grams, ascending
     weights: np.ndarray  # n-gram x language
     languages: list[str]
@@ -54,74 +58,123 @@ def _joined(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return points, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
 
 
-_ALPHABETS: dict[bytes, np.ndarray] = {}
+def _neighbours(points: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of letters, and the codes before, at and after them; ``letter`` is each code point's code, 0 for none."""
+    c = letter[points]
+    here = np.flatnonzero(c)
+    return here, np.where(here > 0, c[here - 1], 0), c[here], c[np.minimum(here + 1, len(c) - 1)]
 
 
-def _alphabet(letters: np.ndarray) -> np.ndarray:
-    key = letters.tobytes()
-    if key not in _ALPHABETS:
-        table = np.where(code_point_classes() == LETTER, SIDE - 1, 0).astype(np.int32)
-        table[letters] = np.arange(1, len(letters) + 1)
-        _ALPHABETS.clear()
-        _ALPHABETS[key] = table
-    return _ALPHABETS[key]
+_LETTERS: list[np.ndarray] = []
 
 
-def _spectrum(points: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams and the position each is at."""
-    c = _alphabet(letters)[points]
-    here = np.flatnonzero(c)
-    before = np.where(here > 0, c[here - 1], 0)
-    after = c[np.minimum(here + 1, len(c) - 1)]
-    mid = c[here]
-    return np.concatenate([mid, SIDE + mid * SIDE + after, SIDE + SIDE**2 + (before * SIDE + mid) * SIDE + after]), np.concatenate([here, here, here])
+def _letters() -> np.ndarray:
+    if not _LETTERS:
+        _LETTERS.append(np.where(code_point_classes() == LETTER, np.arange(0x110000), 0))
+    return _LETTERS[0]
 
 
-def _letter_counts(sample: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            points, _ = _joined(chunk)
-            point, n = np.unique(points[code_point_classes()[points] == LETTER], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(point.astype(np.int32)), pa.array(n.astype(np.int64))], names=["point", "n"])
+def _spectrum(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all n-grams and the position each is at; every letter is told apart."""
+    here, before, mid, after = _neighbours(points, _letters())
+    code = lambda a, b, c: (a << (2 * BITS)) | (b << BITS) | c
+    return np.concatenate([code(ONE, 0, mid), code(TWO, mid, after), code(before, mid, after)]), np.concatenate([here, here, here])
+
 
-    return sample.mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+class Lookup:
+    """Positions of texts' n-grams among a model's, counted from 1; 0 for others."""
 
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        parts = [(grams >> (BITS * k)) & ((1 << BITS) - 1) for k in (2, 1, 0)]
+        known = np.unique(np.concatenate(parts)) if len(grams) else np.zeros(0, dtype=np.int64)
+        known = known[(known > 0) & (known < ONE)]
+        self.side = len(known) + 2  # 0 for no letter, the last for letters of no landmark
+        self.table = None
+        if self.side**3 + self.side**2 + self.side <= TABLE:
+            self.letter = np.where(_letters() > 0, self.side - 1, 0)
+            self.letter[known] = np.arange(1, len(known) + 1)
+            a, b, c = (np.where(p < ONE, self.letter[np.minimum(p, 0x10FFFF)], 0) for p in parts)
+            self.table = np.zeros(self.side**3 + self.side**2 + self.side, dtype=np.int32)
+            at = np.where(parts[0] == ONE, c, np.where(parts[0] == TWO, self._two(b, c), self._three(a, b, c)))
+            self.table[at] = np.arange(1, len(grams) + 1)
 
-def _gram_sets(sample: DataFrame, letters: np.ndarray) -> DataFrame:
+    def _two(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.side + b * self.side + c
+
+    def _three(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.side + self.side**2 + (a * self.side + b) * self.side + c
+
+    def find(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each n-gram is among the model's, and its position in the text."""
+        if self.table is not None:
+            here, before, mid, after = _neighbours(points, self.letter)
+            return self.table[np.concatenate([mid, self._two(mid, after), self._three(before, mid, after)])], np.concatenate([here, here, here])
+        codes, at = _spectrum(points)
+        if not len(self.grams):
+            return np.zeros(len(codes), dtype=np.int64), at
+        near = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        return np.where(self.grams[near] == codes, near + 1, 0), at
+
+
+def _gram_sets(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             points, ends = _joined(chunk)
-            codes, at = _spectrum(points, letters)
+            codes, at = _spectrum(points)
             row = np.searchsorted(ends, at, "right")
-            sets = [np.unique(codes[row == k]).astype(np.int32) for k in range(len(chunk))]
-            yield pa.RecordBatch.from_arrays([chunk.column("lang"), chunk.column("rank"), pa.array(sets, type=pa.list_(pa.int32()))], names=["lang", "rank", "grams"])
-
-    return sample.mapInArrow(run, "lang string, rank int, grams array<int>")
+            sets = [np.unique(codes[row == k]) for k in range(len(chunk))]
+            yield pa.RecordBatch.from_arrays([chunk.column("lang"), chunk.column("rank"), pa.array(sets, type=pa.list_(pa.int64()))], names=["lang", "rank", "grams"])
+
+    return sample.mapInArrow(run, "lang string, rank int, grams array<bigint>")
+
+
+def solve(sets: list[np.ndarray], target: np.ndarray, marks: list[int], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of the landmarks and their weights per language: kernel ridge regression in the space that the landmarks span.
+
+    min over a of |C a - Y|^2 + ridge n a' K a with C the kernel of rows and
+    landmarks, K that of landmarks; a row's kernel with a landmark is linear in
+    the row's presence vector. Products are summed over blocks of n-grams, so
+    no dense matrix of rows and n-grams is held.
+    """
+    grams = np.unique(np.concatenate([sets[k] for k in marks]))
+    length = np.sqrt(np.array([max(1, np.isin(s, grams, assume_unique=True).sum()) for s in sets]))
+    place = [np.searchsorted(grams, np.intersect1d(grams, s, assume_unique=True)) for s in sets]
+
+    def block(first: int, last: int) -> np.ndarray:
+        out = np.zeros((len(sets), last - first), dtype=np.float32)
+        for k, p in enumerate(place):
+            a, b = np.searchsorted(p, [first, last])
+            out[k, p[a:b] - first] = 1 / length[k]
+        return out
+
+    width = max(1, CELLS // len(sets))
+    cuts = [(a, min(len(grams), a + width)) for a in range(0, len(grams), width)]
+    cross = np.zeros((len(sets), len(marks)))
+    for a, b in cuts:
+        part = block(a, b)
+        cross += part @ part[marks].T
+    inner = cross[marks]
+    alpha = np.linalg.lstsq(cross.T @ cross + ridge * len(sets) * inner + 1e-9 * np.eye(len(marks)), cross.T @ target, rcond=None)[0]
+    return grams, np.concatenate([block(a, b)[marks].T.astype(float) @ alpha for a, b in cuts])
 
 
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = 1e-3) -> Model:
-    """Learns from ``docs`` (doc_id, text, lang). The driver gets the n-gram sets of ``rows`` texts per language."""
+    """Learns from ``docs`` (doc_id, text, lang). The driver gets the n-gram sets of ``rows`` texts per language; a text that repeats under one id counts once."""
     scratch = Scratch(docs.sparkSession, "language")
-    chosen = least_hashed(docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", rows, MAX_LANGUAGES)
-    # at most ``rows`` small rows per language
-    sample = scratch.save(docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id"), "sample")
-    letters = np.sort(np.array([r["point"] for r in _letter_counts(sample).orderBy(F.col("n").desc(), "point").limit(LETTERS).collect()], dtype=np.int64))
-    got = sorted(((r["lang"], r["rank"], r["grams"]) for r in _gram_sets(sample, letters).where(F.size("grams") > 0).collect()), key=lambda r: r[:2])
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", row_key().alias("key"))
+    chosen = least_hashed(known, "lang", rows, MAX_LANGUAGES)
+    sample = known.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key", "rank").agg(F.first("text").alias("text"))
+    sample = scratch.save(sample, "sample")
+    got = sorted(((r["lang"], r["rank"], np.array(r["grams"])) for r in _gram_sets(sample).where(F.size("grams") > 0).collect()), key=lambda r: r[:2])
     scratch.drop("sample")
     if not got:
-        return Model(letters, np.zeros(0, dtype=np.int64), np.zeros((0, 0)), [])
+        return Model(np.zeros(0, dtype=np.int64), np.zeros((0, 0)), [])
     languages = sorted({r[0] for r in got})
-    marks = [k for k, r in enumerate(got) if r[1] <= landmarks] or [0]
-    grams = np.unique(np.concatenate([np.array(got[k][2]) for k in marks]))
-    present = np.zeros((len(got), len(grams)), dtype=np.float32)
-    for k, r in enumerate(got):
-        present[k, np.searchsorted(grams, np.intersect1d(grams, r[2]))] = 1
-    present /= np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
-    base = present[marks]
-    cross, inner = (present @ base.T).astype(float), (base @ base.T).astype(float)
+    each = max(1, min(landmarks, LANDMARKS // len(languages)))
+    marks = [k for k, r in enumerate(got) if k < each or got[k - each][0] != r[0]]
     target = np.where(np.array([r[0] for r in got])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    alpha = np.linalg.lstsq(cross.T @ cross + ridge * len(got) * inner + 1e-9 * np.eye(len(marks)), cross.T @ target, rcond=None)[0]
-    return Model(letters, grams, base.T.astype(float) @ alpha, languages)
+    return Model(*solve([r[2] for r in got], target, marks, ridge), languages)
 
 
 def predict(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -129,21 +182,23 @@ def predict(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added = ["lang_pred", "score"]
     kept = [c for c in frame.columns if c != text and c not in added]
     schema = T.StructType([frame.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = frame.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.zeros(SPECTRUM, dtype=np.int32)
-        slot[model.grams] = np.arange(1, len(model.grams) + 1)
+        model = shared.value
+        lookup = Lookup(model.grams)
+        weights = model.weights.astype(np.float32)
         names = np.array(["und", *model.languages], dtype=object)
-        for chunk in chunks(batches, text):
+        for chunk in chunks(batches, text, rows=max(16, CELLS // (len(model.grams) + 1))):
             points, ends = _joined(chunk)
-            codes, at = _spectrum(points, model.letters)
+            found, at = lookup.find(points)
             present = np.zeros((len(chunk), len(model.grams) + 1), dtype=np.float32)
             rows = np.repeat(np.arange(len(chunk)), np.diff(ends, prepend=0))
-            present[rows[at], slot[codes]] = 1
+            present[rows[at], found] = 1
             lettered = present.any(axis=1)
             present = present[:, 1:]
             if model.languages:
-                values = (present @ model.weights.astype(np.float32)).astype(float) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
+                values = (present @ weights).astype(float) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
                 best = values.argmax(axis=1)
                 score = np.clip((values[np.arange(len(chunk)), best] + 1) / 2, 0, 1)
             else:

@@ -12,7 +12,8 @@ distribution, a segment of score S in a text of n tokens is expected
 E = K * n * exp(-lambda * S) times by chance (Karlin and Altschul); segments of
 E <= ``e_max`` are the toxic passages. The text's evidence is the sum of
 -log(E) over them, and a one-dimensional logistic fit turns evidence into a
-probability.
+probability. The fit sees evidence of rows that did not choose the terms: the
+sample is cut into folds, and each fold is scored by a model of the others.
 
 Defined results: null and empty texts have no passage and get the base
 probability; unlabelled or null-labelled rows are not learned from; several
@@ -23,7 +24,7 @@ Repeated rows score alike; columns of the frame pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.folds import below
+from revlens.llm.folds import least_hashed, row_key
 from revlens.llm.textscan import PUNCTUATION, chunks, words
 from revlens.session import Scratch
 
-#: Labelled rows learned from, of each class (those of least id hash).
+#: Distinct labelled rows learned from, of each class (those of least hash); what the model can hold follows from it.
 ROWS_PER_CLASS = 10_000
-#: Terms of a model at most, the most significant first.
-MAX_TERMS = 20_000
+#: Parts of the sample, each scored by a model of the others for the calibration.
+FOLDS = 4
 PASSAGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
 
@@ -130,25 +131,24 @@ def with_passages(frame: DataFrame, model: Model, text: str = "text", keep_text:
 
 
 def _token_counts(labelled: DataFrame) -> DataFrame:
-    """Per token: toxic and clean documents that hold it, and its occurrences in clean ones."""
-    schema = "token long, toxic int, docs long, n long"
+    """Per token and fold: toxic and clean documents that hold it (y1, y0), and its occurrences in clean ones. ``labelled``: text, toxic, fold."""
+    schema = "token long, fold int, toxic int, docs long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             _, _, hashes, first = words(chunk, PUNCTUATION)
-            label = chunk.column("toxic").to_numpy(zero_copy_only=False)
+            group = chunk.column("fold").to_numpy(zero_copy_only=False) * 2 + chunk.column("toxic").to_numpy(zero_copy_only=False)
             per_text = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-            for toxic in (0, 1):
-                own = [x for x, t in zip(per_text, label, strict=True) if t == toxic]
-                if not own:
-                    continue
+            for g in np.unique(group).tolist():
+                own = [x for x, t in zip(per_text, group, strict=True) if t == g]
                 token, inverse, docs = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True, return_counts=True)
                 n = np.bincount(inverse, weights=np.concatenate([x[1] for x in own]), minlength=len(token)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.full(len(token), toxic, dtype=np.int32)), pa.array(docs.astype(np.int64)), pa.array(n)], names=["token", "toxic", "docs", "n"])
+                same = lambda v, m=len(token): pa.array(np.full(m, v, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), same(g // 2), same(g % 2), pa.array(docs.astype(np.int64)), pa.array(n)], names=["token", "fold", "toxic", "docs", "n"])
 
     counts = labelled.mapInArrow(run, schema)
-    toxic, clean = F.col("toxic") == 1, F.col("toxic") == 0
-    return counts.groupBy("token").agg(F.sum(F.when(toxic, F.col("docs")).otherwise(0)).alias("y1"), F.sum(F.when(clean, F.col("docs")).otherwise(0)).alias("y0"), F.sum(F.when(clean, F.col("n")).otherwise(0)).alias("clean"))
+    part = lambda toxic, c: F.sum(F.when(F.col("toxic") == toxic, F.col(c)).otherwise(0))
+    return counts.groupBy("token", "fold").agg(part(1, "docs").alias("y1"), part(0, "docs").alias("y0"), part(0, "n").alias("clean"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -182,34 +182,46 @@ def _root(p0: np.ndarray, weights: np.ndarray, drift: float) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_terms: int = MAX_TERMS, prior_floor: float = 0.5, prior_strength: float = 10.0, z_min: float = 3.0, min_weight: float = 2.0, drift: float = -0.25, e_max: float = 0.05) -> Model:
-    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). What reaches the driver is bounded by the parameters."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    truth = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        base = 40.0 if sizes.get(1) else -40.0
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), drift, 1.0, 1.0, e_max, 0.0, base)
-    picks = [truth.where((F.col("toxic") == t) & below(rows_per_class, sizes[t])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for t in (0, 1)]
-    chosen = picks[0].unionByName(picks[1])  # at most 2 * rows_per_class small rows
-    sample = scratch.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
-    counts = scratch.save(_token_counts(sample), "counts")
+def _learned(counts: DataFrame, n1: float, n0: float, prior_floor: float, prior_strength: float, z_min: float, min_weight: float, drift: float, e_max: float) -> Model:
+    """Terms, weights and segment statistics from ``counts`` (token, y1, y0, clean) of n1 toxic and n0 clean documents."""
     held, clean = counts.agg(F.sum(F.col("y1") + F.col("y0")), F.sum("clean")).first()
-    n1, n0 = (float(sample.where(F.col("toxic") == t).count()) for t in (1, 0))
     prior = F.lit(prior_floor) + F.lit(prior_strength) * (F.col("y1") + F.col("y0")) / F.lit(float(held or 1))
     a1, a0 = F.col("y1") + prior, F.col("y0") + prior
     odds = F.log(a1 / (F.lit(n1) + 2 * prior - a1)) - F.log(a0 / (F.lit(n0) + 2 * prior - a0))
     scored = counts.where(F.col("y1") > 0).select("token", odds.alias("weight"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"), ((F.col("clean") + prior_floor) / F.lit(float(clean or 0) + 1)).alias("p0"))
-    rows = scored.where((F.col("z") >= z_min) & (F.col("weight") >= min_weight)).orderBy(F.col("z").desc(), "token").limit(max_terms).collect()
+    rows = sorted(scored.where((F.col("z") >= z_min) & (F.col("weight") >= min_weight)).select("token", "weight", "p0").collect(), key=lambda r: r["token"])
     terms = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
     weights, p0 = np.array([r["weight"] for r in rows], dtype=float), np.array([r["p0"] for r in rows], dtype=float)
     order = np.argsort(terms)
     lam = _root(p0, weights, drift) if len(rows) else 1.0
     k = float((p0 * np.exp(lam * weights)).sum()) if len(rows) else 1.0
-    model = Model(terms[order], weights[order], drift, lam, k, e_max)
-    pairs = with_passages(sample, model).select("evidence", "toxic").toPandas()
-    y = pairs["toxic"].to_numpy(dtype=float)
-    share = np.array([sizes[0] / max(1, (y == 0).sum()), sizes[1] / max(1, (y == 1).sum())])
-    base, slope = _logistic(np.log1p(pairs["evidence"].to_numpy(dtype=float)), y, share[y.astype(int)])
+    return Model(terms[order], weights[order], drift, lam, k, e_max)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, prior_floor: float = 0.5, prior_strength: float = 10.0, z_min: float = 3.0, min_weight: float = 2.0, drift: float = -0.25, e_max: float = 0.05) -> Model:
+    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). The sample and so what reaches the driver is bounded by ``rows_per_class``; rows that repeat id and text count once."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    settings = prior_floor, prior_strength, z_min, min_weight, drift, e_max
+    truth = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = docs.select("doc_id", "text").join(truth, "doc_id").select("toxic", "text", row_key().alias("key"))
+    chosen = least_hashed(known, "toxic", rows_per_class, 2)
+    sample = known.join(F.broadcast(chosen), ["toxic", "key"]).groupBy("toxic", "key", "rank").agg(F.first("text").alias("text"))
+    sample = scratch.save(sample.select("toxic", "text", (F.col("rank") % FOLDS).alias("fold")), "sample")
+    sizes = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    held = {(r["toxic"], r["fold"]): r["n"] for r in sample.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    n = [sum(v for (t, _), v in held.items() if t == toxic) for toxic in (0, 1)]
+    if not all(n):
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), drift, 1.0, 1.0, e_max, 0.0, 40.0 if n[1] else -40.0)
+    counts = scratch.save(_token_counts(sample), "counts")
+    total = lambda rows: rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y1", "y0", "clean")])
+    model = _learned(total(counts), float(n[1]), float(n[0]), *settings)
+    evidence = []
+    for k in range(FOLDS):
+        m = [n[t] - held.get((t, k), 0) for t in (0, 1)]
+        other = _learned(total(counts.where(F.col("fold") != k)), float(m[1]), float(m[0]), *settings) if all(m) else model
+        evidence += with_passages(sample.where(F.col("fold") == k), other).select("evidence", "toxic").collect()
+    x, y = (np.array([r[c] for r in evidence], dtype=float) for c in ("evidence", "toxic"))
+    share = np.array([sizes[t] / n[t] for t in (0, 1)])
+    base, slope = _logistic(np.log1p(x), y, share[y.astype(int)])
     scratch.drop("sample", "counts")
-    return Model(model.terms, model.weights, drift, lam, k, e_max, slope, base)
+    return replace(model, slope=slope, base=base)

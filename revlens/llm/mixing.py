@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.folds import least_hashed
+from revlens.llm.folds import least_hashed, row_key
 from revlens.llm.textscan import LOWER, Chunk, chunks, words
 from revlens.session import Scratch
 
-#: Rows per domain that the classifier learns from (those of least id hash), and domains at most.
-ROWS_PER_DOMAIN, MAX_DOMAINS = 256, 64
+#: Distinct rows per domain that the classifier learns from (those of least hash), and domains; more domains are an error.
+ROWS_PER_DOMAIN, MAX_DOMAINS = 256, 256
 FEATURES = 4096
 Target = Callable[[np.ndarray, list[str]], np.ndarray]
 
@@ -74,8 +74,8 @@ def rates(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, k: int, decay: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Softmax regression by accelerated gradient, classes weighted alike."""
+def _softmax(x: np.ndarray, y: np.ndarray, k: int, decay: float = 1e-4, rounds: int = 300, tolerance: float = 1e-3) -> np.ndarray:
+    """Softmax regression by accelerated gradient, classes weighted alike, until no weight moves by more than a share of the largest."""
     x = np.concatenate([x, np.ones((len(x), 1), dtype=np.float32)], axis=1)
     target = np.zeros((len(x), k), dtype=np.float32)
     target[np.arange(len(x)), y] = 1
@@ -87,7 +87,10 @@ def _softmax(x: np.ndarray, y: np.ndarray, k: int, decay: float = 1e-4, rounds:
         following = ahead - 1.0 * (x.T @ (share * (e / e.sum(1, keepdims=True) - target)) + decay * ahead)
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = following + (momentum - 1) / later * (following - w)
+        moved = float(np.abs(following - w).max())
         w, momentum = following, later
+        if moved <= tolerance * float(np.abs(w).max()):
+            break
     return w.astype(float)
 
 
@@ -95,18 +98,18 @@ def learn(docs: DataFrame, labelled: DataFrame, rows: int = ROWS_PER_DOMAIN) ->
     """Classifier from ``docs`` (doc_id, text) and ``labelled`` (doc_id, domain)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     truth = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    chosen = least_hashed(truth, "domain", rows, MAX_DOMAINS).drop("rank")  # at most rows * MAX_DOMAINS small rows
+    known = docs.select("doc_id", "text").where(F.length("text") > 0).join(truth, "doc_id").select("domain", "text", row_key().alias("key"))
+    chosen = least_hashed(known, "domain", rows, MAX_DOMAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            present = _presence(chunk)
-            sets = pa.array([np.flatnonzero(p).astype(np.int32) for p in present], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([chunk.column("domain"), chunk.column("doc_id"), sets], names=["domain", "doc_id", "features"])
+            sets = pa.array([np.flatnonzero(p).astype(np.int32) for p in _presence(chunk)], type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([chunk.column("domain"), chunk.column("rank"), sets], names=["domain", "rank", "features"])
 
-    sample = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
-    got = scratch.save(sample.mapInArrow(run, "domain string, doc_id long, features array<int>"), "sample").collect()
+    sample = known.join(F.broadcast(chosen), ["domain", "key"]).groupBy("domain", "key", "rank").agg(F.first("text").alias("text"))
+    got = scratch.save(sample.mapInArrow(run, "domain string, rank int, features array<int>"), "sample").collect()
     scratch.drop("sample")
-    got = sorted(got, key=lambda r: (r["domain"], r["doc_id"], r["features"]))
+    got = sorted(got, key=lambda r: (r["domain"], r["rank"]))
     x = np.zeros((len(got), FEATURES), dtype=np.float32)
     for k, r in enumerate(got):
         x[k, r["features"]] = 1

@@ -7,7 +7,9 @@ state, which a four-state automaton carries: each code point is a transition
 function packed into one byte, and functions are composed by a table in a
 doubling scan, which ends once every composite has become a constant function.
 The slices between starts feed pair merging by rank, whose results are cached
-per worker process.
+per worker process. The byte where each piece starts is retained on demand;
+decoding then holds every retained offset against the tokens' ends, so that
+each piece can be cut out of the decoded bytes.
 
 Defined results: null and empty texts give no ids; unknown rows do not exist
 because every byte is a token. Repeated rows and clashing column names are
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,12 @@ from revlens.llm.textscan import Chunk, chunks
 OTHER, LETTER, NUMBER, BLANK, BREAK = range(5)
 #: White space as Unicode's White_Space property has it (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers that Unicode 16, which the tokenizer's library follows, has beyond Python's tables (fixed values): first and last code point.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Entries of a worker's merge cache; a full cache is emptied.
 CACHE_ENTRIES = 300_000
 
@@ -43,6 +52,9 @@ def code_point_classes() -> np.ndarray:
 
         first = {"L": LETTER, "N": NUMBER}
         table = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+        for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+            for first, last in ranges:
+                table[first : last + 1] = kind
         table[WHITE_SPACE] = BLANK
         _CLASSES.append(table)
     return _CLASSES[0]
@@ -216,12 +228,12 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", starts: str | None = None) -> DataFrame:
-    """Replaces ``text`` by ``ids`` (array of int) and, if named, ``starts``: the code point where each piece starts.
+def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", starts: str | None = None, offsets: str | None = None) -> DataFrame:
+    """Replaces ``text`` by ``ids`` (array of int) and, if named, ``starts`` and ``offsets``: the code point and the byte where each piece starts.
 
     Narrow: no shuffle. Other columns pass through; one named like an output is replaced.
     """
-    outputs = [ids] + ([starts] if starts else [])
+    outputs = [ids] + [c for c in (starts, offsets) if c]
     kept = [c for c in frame.columns if c != text and c not in outputs]
     schema = T.StructType([frame.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in outputs])
 
@@ -230,27 +242,82 @@ def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", st
         for chunk in chunks(batches, text):
             values, counts, begin, pieces = encode_chunk(chunk, merger)
             columns = [chunk.column(c) for c in kept] + [_lists(values, counts, pa.int32())]
-            if starts:
-                lengths = np.array([len(chunk.text_of(k).tobytes().decode("utf-8")) + 1 for k in range(len(chunk))], dtype=np.int64)
-                shift = np.repeat(np.cumsum(lengths) - lengths, pieces)
-                columns.append(_lists((begin - shift).astype(np.int32), pieces, pa.int32()))
+            if starts or offsets:
+                begin = begin - np.repeat(np.arange(len(chunk)), pieces)  # without the separators between texts
+                points = np.flatnonzero((chunk.data & 0xC0) != 0x80)  # the byte of each code point
+                if starts:
+                    columns.append(_lists((begin - np.repeat(np.searchsorted(points, chunk.offsets[:-1]), pieces)).astype(np.int32), pieces, pa.int32()))
+                if offsets:
+                    columns.append(_lists((points[begin] - np.repeat(chunk.offsets[:-1], pieces)).astype(np.int32), pieces, pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=kept + outputs)
 
     return frame.select(*kept, text).mapInArrow(run, schema)
 
 
-def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the bytes that ``ids`` stand for; null ids decode to no bytes. Raises KeyError on an unknown id."""
+class Tokens:
+    """All tokens' bytes end to end, for decoding many ids at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        self.start, self.length = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+        at, parts = 0, []
+        for raw, rank in ranks.items():
+            self.start[rank], self.length[rank] = at, len(raw)
+            parts.append(raw)
+            at += len(raw)
+        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ``ids`` end to end, and where each token ends. An unknown id is a KeyError."""
+        known = (ids >= 0) & (ids < len(self.start))
+        if not known.all() or (self.length[ids] < 0).any():
+            raise KeyError(int(ids[~known][0] if not known.all() else ids[self.length[ids] < 0][0]))
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        place = np.repeat(self.start[ids] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.bytes[place], ends
+
+
+_TOKENS: dict[str, Tokens] = {}
+#: Ids that are decoded together.
+DECODED = 1 << 19
+
+
+def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded", offsets: str | None = None) -> DataFrame:
+    """Adds ``out``: the bytes that ``ids`` stand for; null ids decode to no bytes. Raises KeyError on an unknown id.
+
+    With ``offsets`` (bytes where pieces start, as :func:`encode` retains them) each must be where a token starts, else ValueError.
+    """
     kept = [c for c in frame.columns if c != out]
     schema = T.StructType([frame.schema[c] for c in kept] + [T.StructField(out, T.BinaryType())])
 
+    def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(batch.schema.get_field_index(name))
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, _ = vocabulary(path)
-        token = {rank: raw for raw, rank in ranks.items()}.__getitem__
+        if path not in _TOKENS:
+            _TOKENS[path] = Tokens(vocabulary(path)[0])
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            raw = pa.array([b"".join(map(token, lists[k].values.to_numpy().tolist() if lists[k].is_valid else ())) for k in range(len(lists))], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw] if out not in batch.schema.names else [batch.column(batch.schema.get_field_index(c)) for c in kept] + [raw], names=[*kept, out])
+            values, cuts = column(batch, ids)
+            pieces, piece_cuts = column(batch, offsets) if offsets else (None, None)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + DECODED, "right")) - 1)
+                raw, ends = _TOKENS[path].decode(values[cuts[first] : cuts[last]])
+                edges = np.concatenate([[0], ends])[cuts[first : last + 1] - cuts[first]]
+                if offsets:
+                    own = piece_cuts[first : last + 1]
+                    wanted = pieces[own[0] : own[-1]] + np.repeat(edges[:-1], np.diff(own))
+                    begins = ends - np.diff(ends, prepend=0)
+                    near = np.minimum(np.searchsorted(begins, wanted), max(0, len(begins) - 1))
+                    if len(wanted) and (not len(begins) or (begins[near] != wanted).any()):
+                        raise ValueError("a retained offset is inside a token")
+                decoded = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(batch.schema.get_field_index(c)) for c in kept] + [decoded], names=[*kept, out])
+                first = last
 
     return frame.select(*kept).mapInArrow(run, schema)
 

@@ -13,4 +13,4 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path), path))
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path, offsets="offsets"), path, offsets="offsets"))

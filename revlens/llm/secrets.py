@@ -3,8 +3,7 @@
 Base kinds are found by regular expressions, leftmost and non-overlapping, and
 keep their spans whatever the corpus says. The method adds spans of kind
 ``rare``: long runs that mix letters and digits, do not overlap a base span,
-and whose value one owner alone uses, in no more repositories than a bound if
-one is given. Values are hashed; hashes are counted by
+and whose value one owner alone uses, in no more than a few repositories. Values are hashed; hashes are counted by
 distinct repositories and owners with partial aggregation before each shuffle,
 and every candidate is then known to be a widely copied example or an
 owner-specific, live-looking credential.
@@ -25,12 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.session import Scratch
+
 #: kind, pattern, group of the value, least length of the value (fixed values).
 BASE_KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
+#: Distinct repositories up to which a value of one owner is its own; one in more is a widely copied example.
+MAX_REPOSITORIES = 4
 RARE = ("rare", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
 #: Cheap tests that a text must pass before its matches are listed; each is implied by a match that counts.
 HINTS = {"assign": r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=])", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "rare": r"[A-Za-z0-9+/_-]{24}"}
@@ -59,7 +62,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repositories: int | None = None) -> DataFrame:
+def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
     """One row per input row: doc_id, base (array), rare (array), how many secrets are owner-specific or shared, and ``n_repositories``.
 
     A value is owner-specific if at most ``max_owners`` distinct owners hold it, in at most ``max_repositories`` distinct
@@ -74,7 +77,8 @@ def scan(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", repositor
     )
     base = base.withColumn("base", F.array_sort(reduce(F.concat, [F.col(k) for k, *_ in BASE_KINDS])))
     mixed = F.filter("wide", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    base = base.withColumn("wide", mixed)
+    # read twice below, so that no text is scanned twice
+    base = Scratch(frame.sparkSession, "secrets").save(base.withColumn("wide", mixed), "base")
     key = ["doc_id", "digest"]
     spans = base.where((F.size("base") > 0) | (F.size("wide") > 0)).select("doc_id", "digest", "repository", "owner", F.explode(F.concat("base", "wide")).alias("span"))
     spans = spans.select(*key, "repository", "owner", "span", F.sha2(F.col("span.value"), 256).alias("secret"))
@@ -99,5 +103,5 @@ def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE_KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "rare"))).alias("spans"),
-        F.size("rare").cast("long").alias("n_rare"), F.col("n_live").cast("long"), F.col("n_shared").cast("long"),
+        F.size("rare").cast("long").alias("n_rare"), F.col("n_live").cast("long"), F.col("n_shared").cast("long"), F.col("n_repositories").cast("long"),
     )

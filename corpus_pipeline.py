@@ -59,10 +59,11 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces the text by its ids and their number."""
+    """Replaces the text by its ids, their number, the byte where each piece starts, and the digest of what the ids decode to."""
     ship(spark)
-    encoded = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY))
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    path = public_tokenizers.path(VOCABULARY)
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, offsets="offsets"), path, out="decoded", offsets="offsets")
+    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

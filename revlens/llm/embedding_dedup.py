@@ -2,7 +2,10 @@
 
 In each pass vectors get a key of concatenated random hyperplane signs and are
 sorted by it; neighbours in that order are compared by cosine in double
-precision, and all verified pairs of all passes are united. Rows are dealt out
+precision, and all verified pairs of all passes are united. No task gives out
+pairs: of the links it finds only edges that span them, no more than it has
+rows, and when the components are known each one's links are counted exactly by
+pairs of blocks, which give out one number per row. Rows are dealt out
 in chunks by their rank in the whole order, each with the ranks beside it that
 its windows reach, so the number of partitions changes nothing.
 
@@ -17,8 +20,9 @@ Equal vectors are collapsed beforehand and counted by weight.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; so do vectors of
-other lengths than each other. Repeated rows link with each other. A null id
-has no component. Columns of other names are dropped.
+other lengths than each other. Components of any finite size are compared
+(scaled by the largest first). Repeated rows link with each other; rows that
+share an id are vectors of their own. A null id has no component. Columns of other names are dropped.
 """
 
 from __future__ import annotations
@@ -74,7 +78,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    schema = "pass int, key long, dims int, rep long, h1 long"
+    schema = "pass int, key long, dims int, node long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(KEY_BITS, dtype=np.int64)[::-1]
@@ -88,14 +92,14 @@ def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 for p in range(passes):
                     planes = np.random.default_rng([seed, p, int(width)]).standard_normal((int(width), KEY_BITS))
                     key = ((data @ planes > 0) * weights).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0), part.column(3)], names=["pass", "key", "dims", "rep", "h1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(key), part.column(2), part.column(0)], names=["pass", "key", "dims", "node"])
 
-    return vectors.select("rep", "vector", F.size("vector").alias("dims"), "h1").mapInArrow(run, schema)
+    return vectors.select("node", "vector", F.size("vector").alias("dims")).mapInArrow(run, schema)
 
 
 def _numbered(keyed: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """``keyed`` with ``rank``, the place in the order of its pass and length, whatever the ranges were."""
-    order = ["pass", "dims", "key", "rep", "h1"]
+    order = ["pass", "dims", "key", "node"]
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # written once: the ranges of a second evaluation could be others
     ordered = scratch.save(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
@@ -124,84 +128,139 @@ def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
         yield now, pa.Table.from_batches(held).combine_chunks()
 
 
-def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "miss"])
+class Forest:
+    """Least places that linked places are connected with."""
+
+    def __init__(self, n: int):
+        self.least = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.least[i], self.least[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.least, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = self.least[self.least]
+                if (up == self.least).all():
+                    break
+                self.least = up
+
+    def edges(self, ids: np.ndarray) -> pa.RecordBatch:
+        """One edge for each place that is not the least of its own."""
+        at = np.flatnonzero(self.least != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[self.least[at]]), pa.nulls(len(at), pa.int64())], names=["u", "v", "miss"])
 
 
 def _linked(numbered: DataFrame, vectors: DataFrame, threshold: float, window: int, parts: int) -> DataFrame:
-    """Pairs (u, v) within the windows of each order, and the miss of each row (rep, h1) there. Chunks have the ranks on both sides that their windows reach."""
+    """Edges (u, v) that span the links within the windows of each order, and the miss of each node there. Chunks have the ranks on both sides that their windows reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         misses = _misses(threshold)
         for (_, _, chunk), rows in _together(batches, 3):
-            rank, ids, marks = (rows.column(k).to_numpy() for k in (3, 5, 6))
-            unit = _matrix(rows.column(7).chunk(0))
+            rank, ids = (rows.column(k).to_numpy() for k in (3, 5))
+            unit = _matrix(rows.column(6).chunk(0))
             first, last = np.searchsorted(rank, [chunk * CHUNK, (chunk + 1) * CHUNK]).tolist()
             if first == last:
                 continue
             depth = _depths(rows.column(4).to_numpy(), window)[first:last]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.array(marks[first:last]), pa.array(misses[depth])], names=["u", "v", "miss"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.nulls(last - first, pa.int64()), pa.array(misses[depth])], names=["u", "v", "miss"])
+            forest = Forest(len(ids))
             for a in range(first, last, BLOCK):
                 b, start = min(last, a + BLOCK), max(0, a - window)
                 i, j = np.nonzero(np.tril(unit[a:b] @ unit[start:b].T >= threshold, a - start - 1))
-                if len(i):
-                    yield _pairs(ids[a + i], ids[start + j])
+                forest.link(a + i, start + j)
+            yield forest.edges(ids)
 
     around = F.sequence(F.floor((F.col("rank") - window) / F.lit(CHUNK)), F.floor((F.col("rank") + window) / F.lit(CHUNK)))
-    dealt = numbered.withColumn("chunk", F.explode(around)).where("chunk >= 0").join(vectors.select("rep", "h1", "vector"), ["rep", "h1"])
-    dealt = dealt.select("pass", "dims", "chunk", "rank", "key", "rep", "h1", "vector").repartition(parts, "pass", "dims", "chunk")
+    dealt = numbered.withColumn("chunk", F.explode(around)).where("chunk >= 0").join(vectors.select("node", "vector"), "node")
+    dealt = dealt.select("pass", "dims", "chunk", "rank", "key", "node", "vector").repartition(parts, "pass", "dims", "chunk")
     return dealt.sortWithinPartitions("pass", "dims", "chunk", "rank").mapInArrow(run, FOUND)
 
 
+def _blocks(rows: DataFrame, group: str, parts: int) -> DataFrame:
+    """``rows`` (group, node, weight, vector) dealt to pairs of blocks of about SIDE rows of each group, sorted by group, b1, b2."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(group, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "weight", "vector")
+    return dealt.repartition(parts, group, "b1", "b2").sortWithinPartitions(group, "b1", "b2")
+
+
 def _compared(crowd: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """All pairs (u, v) of ``crowd``, by pairs of blocks of about SIDE rows."""
+    """Edges (u, v) that span all links of ``crowd``, by pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, b1, b2), rows in _together(batches, 3):
-            block, ids, unit = rows.column(3).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(5).chunk(0))
+            block, ids, unit = rows.column(3).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(6).chunk(0))
             left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
-            own, other = ids[right], unit[right]
+            other, forest = unit[right], Forest(len(ids))
             for s in range(0, len(left), BLOCK):
                 at = left[s : s + BLOCK]
                 i, j = np.nonzero(unit[at] @ other.T >= threshold)
+                forest.link(at[i], right[j])
+            yield forest.edges(ids)
+
+    return _blocks(crowd.withColumn("dims", F.size("vector")), "dims", parts).mapInArrow(run, FOUND)
+
+
+def _counted(members: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(node, linked): total weight of other members of its component that each node is linked with, in parts, one for each pair of blocks."""
+
+    def told(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked)], names=["node", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, b1, b2), rows in _together(batches, 3):
+            block, ids, weight, unit = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy(), _matrix(rows.column(6).chunk(0))
+            left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+            other, linked = unit[right], np.zeros(len(ids), dtype=np.int64)
+            for s in range(0, len(left), BLOCK):
+                at = left[s : s + BLOCK]
+                same = unit[at] @ other.T >= threshold
                 if b1 == b2:
-                    i, j = i[at[i] > right[j]], j[at[i] > right[j]]
-                if len(i):
-                    yield _pairs(ids[at[i]], own[j])
+                    same[np.arange(len(at)), np.arange(s, s + len(at))] = False
+                else:
+                    linked[right] += weight[at] @ same
+                linked[at] += same @ weight[right]
+            yield told(ids, linked)
 
-    crowd = crowd.withColumn("dims", F.size("vector"))
-    blocks = crowd.groupBy("dims").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("blocks"))
-    dealt = crowd.join(F.broadcast(blocks), "dims").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("dims", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "vector")
-    return dealt.repartition(parts, "dims", "b1", "b2").sortWithinPartitions("dims", "b1", "b2").mapInArrow(run, FOUND)
+    return _blocks(members, "component", parts).mapInArrow(run, "node long, linked long")
 
 
 def dedup(frame: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, window: int = 256, recall: float = 0.995, seed: int = 17) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     scratch = Scratch(frame.sparkSession, "embedding")
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
     usable = F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    rows = frame.select(F.col(vec_id).alias("vec_id"), wide.alias("vector"), norm.alias("norm"), usable.alias("usable"))
-    rows = rows.withColumn("usable", F.col("usable") & F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    rows = rows.select("vec_id", F.when(F.col("usable") & F.col("vec_id").isNotNull(), F.transform("vector", lambda x: x / F.col("norm"))).alias("vector"))
+    # a generator of one row keeps the optimizer from computing a whole column anew for every element that refers to it
+    whole = lambda c, name: F.explode(F.array(c)).alias(name)
+    rows = frame.select(F.col(vec_id).alias("vec_id"), whole(F.when(usable & F.col(vec_id).isNotNull(), wide), "vector"))
+    # by the largest component first, so that no square overflows or vanishes
+    rows = rows.select("vec_id", "vector", whole(F.array_max(F.transform("vector", lambda x: F.abs(x))), "top"))
+    rows = rows.select("vec_id", whole(F.when(F.col("top") > 0, F.transform("vector", lambda x: x / F.col("top"))), "vector"))
+    rows = rows.select("vec_id", "vector", whole(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)), "norm"))
+    rows = rows.select("vec_id", whole(F.transform("vector", lambda x: x / F.col("norm")), "vector"))
     rows = rows.withColumn("h1", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector")))
-    groups = scratch.save(rows.where("vector is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "groups")
+    groups = rows.where("vector is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    groups = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     n = groups.count()
     passes = passes_needed(n, threshold, window, recall)
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = _numbered(_keyed(groups, passes, seed), scratch, parts)
     found = scratch.save(_linked(numbered, groups, threshold, window, parts), "found")
-    missed = found.where("miss is not null").groupBy(F.col("u").alias("rep"), F.col("v").alias("h1")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > round(math.log(1 - recall) * SCALE))
-    crowd = scratch.save(groups.join(missed, ["rep", "h1"], "left_semi").select("rep", "vector"), "crowd")
-    pairs = scratch.save(found.where("miss is null").unionByName(_compared(crowd, threshold, parts)).select("u", "v").distinct(), "pairs")
-    weights = groups.select("rep", "weight")
-    ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
-    degree = ends.join(weights.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("weight").alias("linked"))
-    parts_of = connected_components(pairs, scratch)
-    told = groups.select("h1", "h2", "rep", "weight").join(degree, "rep", "left").join(parts_of, F.col("rep") == F.col("node"), "left")
-    told = told.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    missed = found.where("miss is not null").groupBy(F.col("u").alias("node")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > round(math.log(1 - recall) * SCALE))
+    crowd = scratch.save(groups.join(missed, "node", "left_semi").select("node", "weight", "vector"), "crowd")
+    edges = found.where("miss is null").unionByName(_compared(crowd, threshold, parts)).select("u", "v").distinct()
+    parts_of = scratch.save(connected_components(edges, scratch), "parts_of")
+    members = scratch.save(groups.join(parts_of, "node").select("component", "node", "rep", "weight", "vector"), "members")
+    degree = scratch.save(_counted(members, threshold, parts).groupBy("node").agg(F.sum("linked").alias("linked")), "degree")
+    least = members.groupBy("component").agg(F.min("rep").alias("least"))
+    told = groups.select("h1", "h2", "node", "rep", "weight").join(degree, "node", "left").join(parts_of.join(least, "component").select("node", "least"), "node", "left")
+    told = told.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    scratch.drop("ordered", "found", "crowd")
     out = rows.drop("vector").join(told, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -19,8 +19,9 @@ Equal sets are one class from the start and are never expanded into pairs.
 
 Defined results: texts that are null or have no word have an empty set and link
 with nothing; texts of fewer than n words have their whole sequence as one
-n-gram. Rows that share an id are one document. A null id is linked with
-nothing and its component is null. Empty tables give empty results.
+n-gram. Rows that share an id are one node: whoever reaches one of their texts
+reaches the others, and links are counted for each text. A null id is linked
+with nothing and its component is null. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from revlens.session import Scratch, arrow_rows
 
 #: Bytes of text of a chunk whose hashes are sorted together.
 SORT_BYTES = 4 << 20
-#: Sets of a block at most; a pair of blocks is one task's trie.
-BLOCK = 512
+#: Sets of a block and their n-grams, about; a pair of blocks is one task's trie.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: N-grams of one trie edge.
 EDGE = 64
 LOCAL = 0xFFFF
@@ -257,11 +258,11 @@ def link_block(reps: np.ndarray, sizes: np.ndarray, weights: np.ndarray, sequenc
 
 
 def _verify(groups: DataFrame, num: int, den: int) -> DataFrame:
-    names = ["rep", "linked", "root"]
+    names = ["node", "linked", "root"]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rep", "ascending"), ("n", "ascending")])
-        reps, sizes, weights = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "size"))
+        table = table.sort_by([("node", "ascending")])
+        reps, sizes, weights = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "size"))
         lower, block = table.column("lower").to_numpy(zero_copy_only=False), table.column("block").to_numpy()
         lists = table.column("tokens").combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -273,7 +274,7 @@ def _verify(groups: DataFrame, num: int, den: int) -> DataFrame:
         keep = links > 0
         return pa.table([pa.array(reps[keep]), pa.array(links[keep]), pa.array(roots[keep])], names=names)
 
-    return groups.groupBy("comp", "band", "b1", "b2").applyInArrow(run, "rep bigint, linked bigint, root bigint")
+    return groups.groupBy("comp", "band", "b1", "b2").applyInArrow(run, "node bigint, linked bigint, root bigint")
 
 
 def join(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -289,38 +290,53 @@ def join(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
         meta = scratch.save(_gather(answered.repartition(parts, "chunk").sortWithinPartitions("chunk")), "meta")
     scratch.drop("answered")
     active = meta.where((F.col("n") > 0) & (F.col("n_repeated").cast("long") * den >= F.col("n").cast("long") * num)).select("digest").distinct()
+    named = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     with arrow_rows(spark, 1000):
         sets = _sets(docs.join(active, "digest", "left_semi").select("text"), n).groupBy("s1", "s2").agg(F.first("tokens").alias("tokens"))
-        named = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-        classes = scratch.save(sets.join(named, ["s1", "s2"]).withColumn("n", F.size("tokens")), "classes")
-    tokens = classes.select("s1", "s2", F.explode("tokens").alias("token"))
+        # written with a number of its own for each class, since ids may name several
+        classes = scratch.save(sets.join(named, ["s1", "s2"]).withColumn("n", F.size("tokens")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    tokens = classes.select("node", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token").groupBy("s1", "s2").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    ordered = classes.drop("tokens").join(shared, ["s1", "s2"]).where(F.size("shared").cast("long") * den >= F.col("n").cast("long") * num)
-    ordered = scratch.save(ordered.select("rep", "n", "size", F.transform("shared", lambda s: s["token"]).alias("tokens")), "ordered")
+    shared = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ordered = classes.select("node", "n", "size").join(shared, "node").where(F.size("shared").cast("long") * den >= F.col("n").cast("long") * num)
+    ordered = scratch.save(ordered.select("node", "n", "size", F.transform("shared", lambda s: s["token"]).alias("tokens")), "ordered")
     needed = F.ceil(F.col("n") * num / F.lit(den)).cast("int")  # exact: n * num is far below 2**53 and den small
-    prefix = ordered.select("rep", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - needed + 1)).alias("token"))
-    centres = prefix.groupBy("token").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top").drop("top")
-    candidates = connected_components(prefix.join(centres, "token").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), scratch, "candidates")
+    prefix = ordered.select("node", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - needed + 1)).alias("token"))
+    centres = prefix.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v < top").drop("top")
+    candidates = connected_components(prefix.join(centres, "token").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), scratch, "candidates")
     step = math.log(den / num) * 1.0001  # linked sizes fall in the same or in adjacent bands
-    members = ordered.join(candidates.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep")
+    members = ordered.join(candidates.select("node", F.col("component").alias("comp")), "node")
     members = members.withColumn("own", F.floor(F.log("n") / F.lit(step)).cast("int"))
     members = members.withColumn("band", F.explode(F.array("own", F.col("own") - 1))).withColumn("lower", F.col("band") == F.col("own")).drop("own")
     members = scratch.save(members, "members")
-    bands = members.groupBy("comp", "band").agg(F.count("*").alias("k"), F.max("lower").alias("any_lower")).where("k > 1 and any_lower").select("comp", "band", F.ceil(F.col("k") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(bands, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "rep", "n", "size", "tokens", "lower", "block")
+    bands = members.groupBy("comp", "band").agg(F.count("*").alias("k"), F.sum(F.size("tokens").cast("long")).alias("t"), F.max("lower").alias("any_lower")).where("k > 1 and any_lower")
+    bands = bands.select("comp", "band", F.greatest(F.ceil(F.col("k") / F.lit(BLOCK)), F.ceil(F.col("t") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
+    dealt = members.join(bands, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "n", "size", "tokens", "lower", "block")
     # by all four keys: rows dealt by (comp, band) already would keep every block pair of a group in one task
     dealt = dealt.repartition(parts, "comp", "band", "b1", "b2")
     linked = scratch.save(_verify(dealt, num, den), "linked")
     scratch.drop("members", "ordered")
-    sums = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    parts_of = connected_components(linked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct(), scratch, "components")
-    told = named.join(sums, "rep", "left").join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select("s1", "s2", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    sums = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
+    parts_of = scratch.save(connected_components(linked.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct(), scratch, "components"), "parts_of")
+    least = parts_of.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    reached = classes.select("s1", "s2", "node").join(sums, "node", "left").join(parts_of.join(least, "component").select("node", "least"), "node", "left")
+    told = named.join(reached, ["s1", "s2"], "left").select("s1", "s2", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("least", "rep").alias("component"))
     out = meta.join(told, ["s1", "s2"], "left")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.select(
+    out = scratch.save(out.select(
         "doc_id", "digest", F.col("n").cast("long").alias("n_shingles"), F.when(real, F.col("links")).otherwise(0).cast("long").alias("n_links"),
         F.when(real, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    ), "rows")
+    return _by_id(out, scratch)
+
+
+def _by_id(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with components united that hold texts of one id."""
+    several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("v"), F.max("component_id").alias("top")).where("v < top").drop("top")
+    if several.isEmpty():
+        return rows
+    ends = rows.where("n_shingles > 0").join(several, "doc_id").where("component_id <> v").select(F.col("component_id").alias("u"), "v").distinct()
+    united = connected_components(ends, scratch, "ids").select(F.col("node").alias("component_id"), F.col("component").alias("_least"))
+    joined = rows.join(united, "component_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("_least", "component_id")).otherwise(F.col("component_id")))
+    return joined.select(*rows.columns)

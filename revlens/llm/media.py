@@ -12,7 +12,7 @@ pairs. Repeats of one integer in a row count once, so that silence cannot
 flood the votes.
 
 Defined results: null, malformed or too short audio has an empty fingerprint
-and matches nothing; silence has the fingerprint of all-equal areas. Repeated
+and matches nothing; WAV files of other rates are resampled; silence has the fingerprint of all-equal areas. Repeated
 rows share a class. Ties between offsets go to the smallest shift, then to the
 earlier one. Other columns pass through :func:`fingerprint`.
 """
@@ -38,21 +38,44 @@ GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 #: (kind, first pitch, pitches, frames): kinds are pitch halves, time halves, quadrants, middle pitches, middle frames.
 FILTERS = [(k % 5, (5 * k) % PITCHES, (6, 12, 4, 12)[k % 4], (4, 6, 8)[k % 3]) for k in range(16)]
 SPAN = max(f[3] for f in FILTERS)
+#: Places of one integer that are met together.
+SHARE = 4096
+
+
+def _widened(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 8 (unsigned), 16, 24 or 32 bits between -1 and 1."""
+    if width == 1:
+        return (np.frombuffer(raw, dtype=np.uint8).astype(np.float32) - 128) / 128
+    if width == 3:
+        parts = np.frombuffer(raw[: len(raw) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16) << 8 >> 8).astype(np.float32) / (1 << 23)
+    return np.frombuffer(raw, dtype=f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
+
+
+def resampled(signal: np.ndarray, have: int, rate: int) -> np.ndarray:
+    """``signal`` at another rate: bands above the lower one's half are cut, then values are read between samples."""
+    if have == rate or not len(signal):
+        return signal
+    taps = 32 * max(1, -(-have // rate)) + 1
+    if have > rate:
+        at = np.arange(taps) - taps // 2
+        kernel = np.sinc(at * rate / have) * np.hanning(taps + 2)[1:-1]
+        signal = np.convolve(signal, (kernel / kernel.sum()).astype(np.float32), "same")
+    at = np.arange(int(len(signal) * rate / have)) * (have / rate)
+    return np.interp(at, np.arange(len(signal)), signal).astype(np.float32)
 
 
 def samples(raw: bytes | None, rate: int) -> np.ndarray:
-    """Mono samples of a WAV file of 16-bit samples, or of bare 16-bit little-endian samples."""
+    """Mono samples at ``rate`` of a WAV file of any rate, channels and 8 to 32 bits, or of bare 16-bit little-endian samples."""
     if not raw:
         return np.zeros(0, dtype=np.float32)
     if raw[:4] == b"RIFF":
         try:
             with wave.open(io.BytesIO(raw)) as f:
-                if f.getsampwidth() != 2 or f.getframerate() != rate:
-                    return np.zeros(0, dtype=np.float32)
-                data = np.frombuffer(f.readframes(f.getnframes()), dtype="<i2").astype(np.float32)
-                return data.reshape(-1, f.getnchannels()).mean(1) / 32768
+                data, channels, have = _widened(f.readframes(f.getnframes()), f.getsampwidth()), f.getnchannels(), f.getframerate()
         except (wave.Error, EOFError):
             return np.zeros(0, dtype=np.float32)
+        return resampled(data[: len(data) // channels * channels].reshape(-1, channels).mean(1), have, rate)
     return np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2").astype(np.float32) / 32768
 
 
@@ -137,8 +160,13 @@ def align(frame: DataFrame, queries: Column, row_id: str = "id", prints: str = "
     classes = scratch.save(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.max("asks").alias("asks"), F.first("fp").alias("fp")), "classes")
     changes = F.filter(F.transform("fp", lambda v, i: F.struct(v.alias("v"), i.alias("at"))), lambda s: (s["at"] == 0) | (s["v"] != F.col("fp")[F.greatest(s["at"] - 1, F.lit(0))]))
     posts = classes.select("rep", "asks", F.explode(changes).alias("s")).select("rep", "asks", F.col("s.v").alias("v"), F.col("s.at").alias("at"))
-    asked = posts.where("asks").select(F.col("rep").alias("q"), "v", F.col("at").alias("q_at"))
-    hits = asked.join(posts.select("rep", "v", "at"), "v").where("q <> rep").groupBy("q", "rep", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n_votes"))
+    # an integer that many places hold is dealt out in shares of its places, each of which meets every place asked
+    posts = scratch.save(posts, "posts")
+    shares = posts.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select("v", F.ceil(F.col("n") / F.lit(SHARE)).cast("int").alias("shares"))
+    posts = posts.join(shares, "v", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    asked = posts.where("asks").select(F.col("rep").alias("q"), "v", F.col("at").alias("q_at"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    stored = posts.select("rep", "v", "at", F.pmod(F.xxhash64("rep", "at"), F.col("shares")).cast("int").alias("share"))
+    hits = asked.join(stored, ["v", "share"]).where("q <> rep").groupBy("q", "rep", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n_votes"))
     best = hits.groupBy("q", "rep").agg(F.max(F.struct("n_votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("early"))).alias("b"))
     best = best.select("q", "rep", F.col("b.n_votes").alias("n_votes"), (-F.col("b.early")).alias("offset")).where(F.col("n_votes") >= votes)
     fps = classes.select("rep", "fp", "n")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from revlens.session import Scratch
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text is divisible by 5; a null id is never held out."""
@@ -35,3 +37,15 @@ def least_hashed(rows: DataFrame, group: str, limit: int, groups: int) -> DataFr
     few = rows.join(F.broadcast(tops), group).where(F.col("key") <= F.col("top")).groupBy(group, "key").agg(F.lit(1).alias("one"))
     order = W.partitionBy(group).orderBy("key")
     return few.select(group, "key", F.row_number().over(order).alias("rank")).where(F.col("rank") <= limit)
+
+
+def labelled_sample(docs: DataFrame, truth: DataFrame, group: str, limit: int, groups: int, scratch: Scratch) -> DataFrame:
+    """Texts of the ``limit`` least hashed distinct rows of each value of ``group``: group, key, rank, text.
+
+    ``docs`` (doc_id, text) meet ``truth`` (doc_id, group) by id and hash alone; no text is shuffled that is not chosen.
+    """
+    known = docs.select("doc_id", row_key().alias("key")).join(truth, "doc_id").select(group, "key")
+    known = scratch.save(known.groupBy(group, "key").agg(F.lit(1).alias("one")).drop("one"), "known")
+    chosen = F.broadcast(least_hashed(known, group, limit, groups))  # at most limit * groups small rows
+    sample = docs.select("text", row_key().alias("key")).join(chosen, "key").groupBy(group, "key", "rank").agg(F.first("text").alias("text"))
+    return sample

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.folds import least_hashed, row_key
+from revlens.llm.folds import labelled_sample
 from revlens.llm.textscan import LOWER, Chunk, chunks, words
 from revlens.session import Scratch
 
@@ -98,17 +98,14 @@ def learn(docs: DataFrame, labelled: DataFrame, rows: int = ROWS_PER_DOMAIN) ->
     """Classifier from ``docs`` (doc_id, text) and ``labelled`` (doc_id, domain)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     truth = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    known = docs.select("doc_id", "text").where(F.length("text") > 0).join(truth, "doc_id").select("domain", "text", row_key().alias("key"))
-    chosen = least_hashed(known, "domain", rows, MAX_DOMAINS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             sets = pa.array([np.flatnonzero(p).astype(np.int32) for p in _presence(chunk)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([chunk.column("domain"), chunk.column("rank"), sets], names=["domain", "rank", "features"])
 
-    sample = known.join(F.broadcast(chosen), ["domain", "key"]).groupBy("domain", "key", "rank").agg(F.first("text").alias("text"))
+    sample = labelled_sample(docs.select("doc_id", "text").where(F.length("text") > 0), truth, "domain", rows, MAX_DOMAINS, scratch)
     got = scratch.save(sample.mapInArrow(run, "domain string, rank int, features array<int>"), "sample").collect()
-    scratch.drop("sample")
+    scratch.drop("known", "sample")
     got = sorted(got, key=lambda r: (r["domain"], r["rank"]))
     x = np.zeros((len(got), FEATURES), dtype=np.float32)
     for k, r in enumerate(got):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.folds import least_hashed, row_key
+from revlens.llm.folds import labelled_sample
 from revlens.llm.textscan import PUNCTUATION, chunks, words
 from revlens.session import Scratch
 
@@ -203,9 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     scratch = Scratch(docs.sparkSession, "toxicity")
     settings = prior_floor, prior_strength, z_min, min_weight, drift, e_max
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").join(truth, "doc_id").select("toxic", "text", row_key().alias("key"))
-    chosen = least_hashed(known, "toxic", rows_per_class, 2)
-    sample = known.join(F.broadcast(chosen), ["toxic", "key"]).groupBy("toxic", "key", "rank").agg(F.first("text").alias("text"))
+    sample = labelled_sample(docs.select("doc_id", "text"), truth, "toxic", rows_per_class, 2, scratch)
     sample = scratch.save(sample.select("toxic", "text", (F.col("rank") % FOLDS).alias("fold")), "sample")
     sizes = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     held = {(r["toxic"], r["fold"]): r["n"] for r in sample.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
@@ -223,5 +221,5 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     x, y = (np.array([r[c] for r in evidence], dtype=float) for c in ("evidence", "toxic"))
     share = np.array([sizes[t] / n[t] for t in (0, 1)])
     base, slope = _logistic(np.log1p(x), y, share[y.astype(int)])
-    scratch.drop("sample", "counts")
+    scratch.drop("known", "sample", "counts")
     return replace(model, slope=slope, base=base)

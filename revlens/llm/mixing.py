@@ -38,6 +38,8 @@ from revlens.session import Scratch
 #: Distinct rows per domain that the classifier learns from (those of least hash), and domains; more domains are an error.
 ROWS_PER_DOMAIN, MAX_DOMAINS = 256, 256
 FEATURES = 4096
+#: Texts whose presence vectors are held together, 16 MB of them.
+ROWS = 1024
 Target = Callable[[np.ndarray, list[str]], np.ndarray]
 
 
@@ -57,7 +59,8 @@ def _presence(chunk: Chunk) -> np.ndarray:
         row = np.repeat(np.arange(len(chunk)), np.diff(offsets))[: len(code)]
         inside = np.arange(len(code)) + 3 <= offsets[row + 1]
         out[row[inside], code[inside]] = 1
-    return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+    out /= np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+    return out
 
 
 def posteriors(present: np.ndarray, mixer: Mixer) -> np.ndarray:
@@ -75,23 +78,31 @@ def rates(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray, y: np.ndarray, k: int, decay: float = 1e-4, rounds: int = 300, tolerance: float = 1e-3) -> np.ndarray:
-    """Softmax regression by accelerated gradient, classes weighted alike, until no weight moves by more than a share of the largest."""
+    """Softmax regression by accelerated gradient, classes weighted alike, until nothing moves by more than a share of the largest.
+
+    Weights stay in the span of the rows, so where rows are fewer than features
+    the same steps are made on the rows' coefficients, with the rows' products.
+    """
     x = np.concatenate([x, np.ones((len(x), 1), dtype=np.float32)], axis=1)
     target = np.zeros((len(x), k), dtype=np.float32)
     target[np.arange(len(x)), y] = 1
     share = (1 / np.maximum(np.bincount(y, minlength=k), 1))[y, None].astype(np.float32) / k
-    w, ahead, momentum = np.zeros((x.shape[1], k), dtype=np.float32), np.zeros((x.shape[1], k), dtype=np.float32), 1.0
+    few = len(x) < x.shape[1]
+    products = x @ x.T if few else x
+    w = np.zeros((products.shape[1], k), dtype=np.float32)
+    ahead, momentum = w, 1.0
     for _ in range(rounds):
-        z = x @ ahead
+        z = products @ ahead
         e = np.exp(z - z.max(1, keepdims=True))
-        following = ahead - 1.0 * (x.T @ (share * (e / e.sum(1, keepdims=True) - target)) + decay * ahead)
+        residual = share * (e / e.sum(1, keepdims=True) - target)
+        following = ahead - (residual if few else x.T @ residual) - decay * ahead
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = following + (momentum - 1) / later * (following - w)
+        ahead = following + np.float32((momentum - 1) / later) * (following - w)
         moved = float(np.abs(following - w).max())
         w, momentum = following, later
         if moved <= tolerance * float(np.abs(w).max()):
             break
-    return w.astype(float)
+    return (x.T @ w if few else w).astype(float)
 
 
 def learn(docs: DataFrame, labelled: DataFrame, rows: int = ROWS_PER_DOMAIN) -> Mixer:
@@ -99,7 +110,7 @@ def learn(docs: DataFrame, labelled: DataFrame, rows: int = ROWS_PER_DOMAIN) ->
     scratch = Scratch(docs.sparkSession, "mixing")
     truth = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, rows=ROWS):
             sets = pa.array([np.flatnonzero(p).astype(np.int32) for p in _presence(chunk)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([chunk.column("domain"), chunk.column("rank"), sets], names=["domain", "rank", "features"])
 
@@ -129,7 +140,7 @@ def assign(frame: DataFrame, mixer: Mixer, text: str = "text", keep_text: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, k = np.array(mixer.domains, dtype=object), len(mixer.domains)
-        for chunk in chunks(batches, text):
+        for chunk in chunks(batches, text, rows=ROWS):
             p = posteriors(_presence(chunk), mixer)
             first = words(chunk)[3]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * k + 1, k, dtype=np.int32)), pa.array(p.reshape(-1)))

@@ -210,13 +210,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     n = [sum(v for (t, _), v in held.items() if t == toxic) for toxic in (0, 1)]
     if not all(n):
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), drift, 1.0, 1.0, e_max, 0.0, 40.0 if n[1] else -40.0)
-    counts = scratch.save(_token_counts(sample), "counts")
-    total = lambda rows: rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y1", "y0", "clean")])
-    model = _learned(total(counts), float(n[1]), float(n[0]), *settings)
+    # one row per token with its counts of each fold, from which all models are read without another shuffle
+    kinds = ("y1", "y0", "clean")
+    own = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for c in kinds for k in range(FOLDS)]
+    counts = scratch.save(_token_counts(sample).groupBy("token").agg(*own), "counts")
+
+    def total(but: int | None = None) -> DataFrame:
+        """Counts of all folds but one."""
+        return counts.select("token", *[sum((F.col(f"{c}_{k}") for k in range(FOLDS) if k != but), F.lit(0)).alias(c) for c in kinds])
+
+    model = _learned(total(), float(n[1]), float(n[0]), *settings)
     evidence = []
     for k in range(FOLDS):
         m = [n[t] - held.get((t, k), 0) for t in (0, 1)]
-        other = _learned(total(counts.where(F.col("fold") != k)), float(m[1]), float(m[0]), *settings) if all(m) else model
+        other = _learned(total(k), float(m[1]), float(m[0]), *settings) if all(m) else model
         evidence += with_passages(sample.where(F.col("fold") == k), other).select("evidence", "toxic").collect()
     x, y = (np.array([r[c] for r in evidence], dtype=float) for c in ("evidence", "toxic"))
     share = np.array([sizes[t] / n[t] for t in (0, 1)])

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Documents are handled in chunks of about this many bytes; a longer one is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of words that are hashed together, with some 50 bytes of sums and powers each; a longer word is a block of its own.
+HASH_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,8 +129,14 @@ def words(chunk: Chunk, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarr
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    sums, down = prefix_codes(LOWER[data])
-    hashes = range_hash(sums, down, starts, ends)
+    hashes = np.empty(len(starts), dtype=U)
+    a = 0
+    while a < len(starts):  # a word's hash depends on its bytes alone, so words are hashed in blocks
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BYTES, "right")))
+        low = starts[a]
+        sums, down = prefix_codes(LOWER[data[low : ends[b - 1]]])
+        hashes[a:b] = range_hash(sums, down, starts[a:b] - low, ends[a:b] - low)
+        a = b
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 

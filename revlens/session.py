@@ -76,10 +76,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that a Python worker reads, and the setting it replaces where the session has Spark's default.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that Python workers can import it anywhere."""
+    """Sends this package to the executors, once per application, so that Python workers can import it anywhere, and bounds their batches."""
+    key, small, default = BATCH_BYTES
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, small)
     application = spark.sparkContext.applicationId
     if application in _SHIPPED:
         return

@@ -41,6 +41,8 @@ LETTERS_16 = [
 NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Entries of a worker's merge cache; a full cache is emptied.
 CACHE_ENTRIES = 300_000
+#: Code points of the longest piece that is kept; with it the cache has a bound in bytes too.
+CACHED_LENGTH = 64
 
 _CLASSES: list[np.ndarray] = []
 
@@ -135,9 +137,10 @@ class Merger(dict):
         rank = self.ranks.get(raw)
         ids = [rank] if rank is not None else self.merge(raw)
         packed = np.array(ids, dtype="<i4").tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = packed
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = packed
         return packed
 
     def merge(self, raw: bytes) -> list[int]:

@@ -54,11 +54,15 @@ def project(x: Column, y: Column, h: list[Column]) -> tuple[Column, Column]:
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
+def extent(points: list[tuple[Column, Column]]) -> Box:
+    """The least box around points."""
+    xs, ys = zip(*points, strict=True)
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
 def project_box(b: Box, h: list[Column]) -> Box:
     """Extent of the four projected corners."""
-    points = [project(x, y, h) for x in (b[0], b[2]) for y in (b[1], b[3])]
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+    return extent([project(x, y, h) for x in (b[0], b[2]) for y in (b[1], b[3])])
 
 
 def same_size(a: Box, b: Box) -> tuple[Box, Box]:

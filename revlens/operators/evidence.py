@@ -135,4 +135,5 @@ def _evidence_sql(query, ctes, d):
         mid_x, mid_y = f"((w{r}0 + w{r}2) / 2)", f"((w{r}1 + w{r}3) / 2)"
         for i, v in enumerate((f"{mid_x} - {w}", f"{mid_y} - {h}", f"{mid_x} + {w}", f"{mid_y} + {h}")):
             parts.append(f"round(CASE WHEN wa0 IS NOT NULL AND wb0 IS NOT NULL THEN {v} ELSE w{r}{i} END, 6) AS e{r}{i}")
-    return query(f"SELECT drawing_id, is_added, char_no, {', '.join(parts)} FROM both_windows")
+    ctes["regions"] = f"regions AS (SELECT drawing_id, is_added, char_no, {', '.join(parts)} FROM both_windows)"
+    return query("SELECT * FROM regions")

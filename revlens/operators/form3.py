@@ -107,5 +107,5 @@ def registered(chain, table, query):
         "S3_header_map": (lambda s, d: header_map(sheet(s, d)), query("SELECT drawing_id, field, col FROM mapped")),
         "S4_row_scan": (lambda s, d: data_rows(sheet(s, d)).select("drawing_id", "row_no", "char_no"), query("SELECT drawing_id, row_no, char_no FROM form_rows WHERE ended = 0")),
         "S5_cell_coerce": (coerced, query("SELECT * FROM coerced WHERE char_no IS NOT NULL")),
-        "S6_debug_json": (lambda s, d: debug_json(coerced(s, d)).select("drawing_id", F.length("json").cast("long").alias("n_chars")), query("""SELECT drawing_id, sum(length(concat('{"char_no":', char_no, ',"reference_location":"', reference_location, '","characteristic_designator":"', characteristic_designator, '","requirement":"', requirement, '"}')) + 1)::BIGINT + 1 AS n_chars FROM coerced WHERE char_no IS NOT NULL GROUP BY drawing_id""")),
+        "S6_debug_json": (lambda s, d: debug_json(coerced(s, d)), query("""SELECT drawing_id, '[' || string_agg(concat('{"char_no":', char_no, ',"reference_location":"', reference_location, '","characteristic_designator":"', characteristic_designator, '","requirement":"', requirement, '"}'), ',' ORDER BY row_ord) || ']' AS json FROM coerced WHERE char_no IS NOT NULL GROUP BY drawing_id""")),
     }

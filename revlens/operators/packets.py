@@ -38,10 +38,11 @@ def output_items(rows: DataFrame) -> DataFrame:
 
 def packets(rows: DataFrame, run: Column, inputs: Column) -> DataFrame:
     """One row per drawing: drawing_id and the packet as JSON."""
-    ordered = F.sort_array(F.collect_list(F.struct("is_added", "item_ord", F.to_json("item").alias("j"))))
-    docs = output_items(rows).groupBy("drawing_id").agg(F.transform(ordered, lambda i: i["j"]).alias("items"))
-    head = F.to_json(F.struct(run.alias("run_id"), inputs.alias("inputs")))
-    return docs.select("drawing_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"items":['), F.array_join("items", ","), F.lit("]}")).alias("packet"))
+    place = lambda i: F.struct(i["is_added"], i["item_ord"])
+    order = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    ordered = F.array_sort(F.collect_list(F.struct("is_added", "item_ord", "item")), order)
+    docs = output_items(rows).groupBy("drawing_id").agg(F.transform(ordered, lambda i: i["item"]).alias("items"))
+    return docs.select("drawing_id", F.to_json(F.struct(run.alias("run_id"), inputs.alias("inputs"), "items")).alias("packet"))
 
 
 def write_packets(docs: DataFrame, path: str) -> None:
@@ -59,13 +60,26 @@ def registered(chain, table, query):
         inputs = F.create_map(F.lit("revA"), F.lit("a.pdf"), F.lit("revB"), F.lit("b.pdf"))
         return packets(rows(s, d), F.concat(F.lit("run_"), F.col("drawing_id")), inputs)
 
+    def regions() -> list[Column]:
+        sides = [F.col(f"i.rev{r.upper()}.{f}").alias(f"{r}_{f}") for r in "ab" for f in ("page", "image_path")]
+        return sides + [F.round(F.col(f"i.rev{r.upper()}.bbox")[k], 6).alias(f"e{r}{k}") for r in "ab" for k in range(4)]
+
     def read_back(s, d):
         p = packed(s, d).select("drawing_id", F.from_json("packet", ITEM_SCHEMA).alias("p"))
-        return p.select("drawing_id", "p.run_id", F.size("p.items").alias("n_items"), F.size(F.filter("p.items", lambda i: i["status"] == "added")).alias("n_added"), F.round(F.aggregate("p.items", F.lit(0.0), lambda a, i: a + i["confidence"]), 4).alias("confidence"))
+        p = p.select("drawing_id", "p.run_id", F.posexplode("p.items").alias("item_no", "i"))
+        return p.select("drawing_id", "run_id", "item_no", "i.char_no", "i.status", F.round("i.confidence", 6).alias("confidence"), F.array_join("i.reasons", "; ").alias("reasons"), *regions())
+
+    def projected(s, d):
+        items = output_items(rows(s, d)).select("drawing_id", "is_added", F.col("item").alias("i"))
+        return items.select("drawing_id", "is_added", "i.char_no", "i.status", *regions())
 
+    name = lambda r, page: f"CASE WHEN e{r}0 IS NOT NULL THEN format('snippets/char_{{:03d}}_rev{r.upper()}_p{{}}.png', i.char_no, {page}) END AS {r}_image_path"
+    sql_sides = f"CASE WHEN ea0 IS NOT NULL THEN a.page END AS a_page, {name('a', 'a.page')}, CASE WHEN eb0 IS NOT NULL THEN 0 END AS b_page, {name('b', 0)}, " + ", ".join(f"e{r}{k}" for r in "ab" for k in range(4))
+    sql_rows = "all_items i JOIN regions e ON e.drawing_id = i.drawing_id AND e.is_added = i.is_added AND e.char_no = i.char_no LEFT JOIN anchors a ON a.drawing_id = i.drawing_id AND a.char_no = i.char_no"
+    sql_why = "LEFT JOIN class_reasons c ON i.is_added = 0 AND c.drawing_id = i.drawing_id AND c.char_no = i.char_no LEFT JOIN added_reasons n ON i.is_added = 1 AND n.drawing_id = i.drawing_id AND n.char_no = i.char_no"
     return {
-        "P12_output_projection": (lambda s, d: output_items(rows(s, d)).select("drawing_id", "is_added", "item.char_no", "item.status", F.col("item.revA").isNotNull().alias("has_a"), F.col("item.revB").isNotNull().alias("has_b")), query("SELECT drawing_id, is_added, i.char_no, status, is_added = 0 AS has_a, span_ord IS NOT NULL AS has_b FROM all_items i")),
-        "K1_packet_sink": (read_back, query("SELECT drawing_id, concat('run_', drawing_id) AS run_id, count(*)::INT AS n_items, count(*) FILTER (is_added = 1)::INT AS n_added, round(sum(confidence), 4) AS confidence FROM all_items GROUP BY drawing_id")),
+        "P12_output_projection": (projected, query(f"SELECT i.drawing_id, i.is_added, i.char_no, status, {sql_sides} FROM {sql_rows}")),
+        "K1_packet_sink": (read_back, query(f"SELECT i.drawing_id, concat('run_', i.drawing_id) AS run_id, (row_number() OVER (PARTITION BY i.drawing_id ORDER BY i.is_added, i.item_ord) - 1)::INT AS item_no, i.char_no, status, round(confidence, 6) AS confidence, coalesce(c.reasons, n.reasons) AS reasons, {sql_sides} FROM {sql_rows} {sql_why}")),
         "K2_snippet_names": (lambda s, d: table(s, d, "form3").select("drawing_id", snippet_name(F.col("char_no"), "revA", F.col("char_no") % 3).alias("name")), query("SELECT drawing_id, format('char_{:03d}_revA_p{}.png', char_no, char_no % 3) AS name FROM form3")),
         "K4_run_dir": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", run_id(F.lit("part1"), F.col("o_orderdate").cast("timestamp"), F.lit("/a/"), F.col("o_orderkey").cast("string")).alias("run_id")), "SELECT o_orderkey, concat('part1_', strftime(o_orderdate::TIMESTAMP, '%Y-%m-%dT%H-%M-%S'), '_', substring(sha256(concat('/a/', o_orderkey)), 1, 8)) AS run_id FROM orders"),
         "K5_progress_log": (lambda s, d: (lambda c: c.t("form3").agg(F.count("*").alias("n")).select(F.lit("form3").alias("stage"), "n").unionByName(c.balloons().agg(F.count("*").alias("n")).select(F.lit("balloons").alias("stage"), "n")).unionByName(c.anchors().agg(F.count("*").alias("n")).select(F.lit("anchors").alias("stage"), "n")))(chain(s, d)), query("SELECT 'form3' AS stage, count(*) AS n FROM form3 UNION ALL SELECT 'balloons', count(*) FROM balloons UNION ALL SELECT 'anchors', count(*) FROM anchors")),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Digit shapes, 5 x 7, one string per row of pixels (fixed values).
 GLYPHS = [
@@ -190,6 +193,79 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def overlay(image: np.ndarray, points: np.ndarray, radius: int = 5, color: tuple[int, int, int] = (0, 255, 0)) -> np.ndarray:
+    """A copy of a BGR image with a ring, two pixels wide, around each point (x, y), whose fractions are cut off. Parts outside are cut."""
+    out = image.copy()
+    h, w = out.shape[:2]
+    y, x = np.mgrid[-radius - 1 : radius + 2, -radius - 1 : radius + 2]
+    ring = np.abs(np.hypot(x, y) - radius) <= 1
+    at = np.trunc(points).astype(np.int64).reshape(-1, 2)
+    xs, ys = (at[:, :1] + x[ring]).reshape(-1), (at[:, 1:] + y[ring]).reshape(-1)
+    inside = (xs >= 0) & (xs < w) & (ys >= 0) & (ys < h)
+    out[ys[inside], xs[inside]] = color
+    return out
+
+
+def overlays(points: DataFrame, width: int, height: int) -> DataFrame:
+    """A debug picture per drawing: ``points`` (drawing_id, x, y) in pixels, ringed on a blank page. drawing_id, n_marked (pixels), png."""
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, or the little that points weigh would be drawn in one task
+    lists = points.where("x is not null and y is not null").repartition(tasks, "drawing_id").groupBy("drawing_id").agg(F.collect_list(F.array("x", "y")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = np.full((height, width, 3), 255, dtype=np.uint8)
+        for batch in batches:
+            drawn = [overlay(blank, np.array(at, dtype=float)) for at in batch.column(1).to_pylist()]
+            marked = pa.array([int((d[:, :, 0] == 0).sum()) for d in drawn], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), marked, pa.array([png(d) for d in drawn], pa.binary())], names=["drawing_id", "n_marked", "png"])
+
+    return lists.mapInArrow(run, "drawing_id bigint, n_marked bigint, png binary")
+
+
+def snippets(rasters: DataFrame, boxes: DataFrame, keys: list[str], pad: int = 10) -> DataFrame:
+    """PNG crops. ``rasters`` (keys, h, w, data: BGR bytes) has one page per key, ``boxes`` (keys, name, x0, y0, x1, y1 in pixels) its regions.
+
+    Returns keys, name, png and error: a box that cannot be cut has no picture but its error. A page goes to one task once, whatever its boxes.
+    """
+    fields = [f for f in boxes.schema.fields if f.name in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", name string, png binary, error string"
+
+    def run(pages: pa.Table, regions: pa.Table) -> pa.Table:
+        image = None
+        if pages.num_rows:
+            page = pages.slice(0, 1).to_pylist()[0]
+            image = np.frombuffer(page["data"], dtype=np.uint8).reshape(page["h"], page["w"], 3)
+        files, errors = [], []
+        for box in zip(*[regions.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")], strict=True):
+            try:
+                if image is None or None in box:
+                    raise ValueError("No page or no box")
+                files.append(png(crop(image, box, pad)))
+                errors.append(None)
+            except ValueError as wrong:
+                files.append(None)
+                errors.append(str(wrong))
+        kept = [regions.column(f.name) for f in fields]
+        return pa.Table.from_arrays([*kept, regions.column("name"), pa.array(files, pa.binary()), pa.array(errors, pa.string())], names=[*[f.name for f in fields], "name", "png", "error"])
+
+    return rasters.groupBy(*keys).cogroup(boxes.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes name and png of ``files`` into a folder that all executors share; a repeated task replaces its file whole. Returns the names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            os.makedirs(folder, exist_ok=True)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                with open(part, "wb") as out:
+                    out.write(data)
+                os.replace(part, os.path.join(folder, name))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+
+    return files.where("png is not null").select("name", "png").mapInArrow(run, "name string")
+
+
 def drawn_balloon(number: int, radius: int = 28, scale: int = 3) -> np.ndarray:
     """A test raster: a circle with a number in it."""
     size = 2 * radius + 12
@@ -254,6 +330,18 @@ def measured(numbers: DataFrame, key: str, number: str) -> DataFrame:
     return numbers.select(key, number).mapInArrow(run, f"{key} bigint, " + ", ".join(f"{n} int" for n in names[1:8]) + ", circle_ok boolean")
 
 
+def drawn_rasters(numbers: DataFrame, key: str, number: str) -> DataFrame:
+    """The drawn raster of each row as a page: key, h, w, data (BGR bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = [np.repeat(drawn_balloon(n)[:, :, None], 3, 2) for n in batch.column(1).to_pylist()]
+            sizes = [pa.array([i.shape[a] for i in images], pa.int32()) for a in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array([i.tobytes() for i in images], pa.binary())], names=[key, "h", "w", "data"])
+
+    return numbers.select(key, number).mapInArrow(run, f"{key} bigint, h int, w int, data binary")
+
+
 def grey_values(pixels: DataFrame) -> DataFrame:
     """Grey value of pixels with columns b, g, r."""
 

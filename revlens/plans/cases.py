@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens.functions import geometry as G
 from revlens.functions import text as X
-from revlens.operators import classification, vision
+from revlens.operators import candidates, classification, packets, vision
 from revlens.session import ship
 from revlens.sources import pages
 
@@ -37,6 +38,21 @@ def registered(chain, table, query):
         ship(s)
         return vision.grey_values(s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 256).cast("int").alias("b"), (F.col("l_suppkey") * 3 % 256).cast("int").alias("g"), (F.col("l_orderkey") % 256).cast("int").alias("r")).distinct())
 
+    def cut(s, d):
+        """A region of each part's drawn page, some of them beyond its edge or without area, as PNG; its size is read from the file."""
+        ship(s)
+        parts = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_size")
+        boxes = parts.select("p_partkey", packets.snippet_name(F.col("p_partkey").cast("int"), "revA", F.lit(0)).alias("name"), (F.col("p_size") * 2).alias("x0"), F.lit(3).alias("y0"), (F.col("p_size") + 20).alias("x1"), F.lit(60).alias("y1"))
+        size = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+        return vision.snippets(vision.drawn_rasters(parts, "p_partkey", "p_size"), boxes, ["p_partkey"]).select("p_partkey", "name", size(17).alias("w"), size(21).alias("h"), F.split("error", ":")[0].alias("error"))
+
+    def ringed(s, d):
+        """Projected centres of the old spans, at a fifth of a pixel a point."""
+        ship(s)
+        centre = G.project(*G.center(G.box()), [F.col(h) for h in candidates.HOMOGRAPHY])
+        points = chain(s, d).boxes().select("drawing_id", *[F.round(c * 0.2, 6).alias(n) for c, n in zip(centre, "xy", strict=True)])
+        return vision.overlays(points, 200, 240).select("drawing_id", "n_marked")
+
     def spans_again(s, d):
         spans = table(s, d, "spans_a").withColumns({"rev": F.lit("A"), "page": F.lit(0), "block_id": F.lit(0), "line_id": F.lit(0), "span_id": F.col("span_ord") - 1})
         return pages.text_spans(pages.page_json(spans))
@@ -49,6 +65,9 @@ def registered(chain, table, query):
         "V7_two_digit_split": (lambda s, d: numbers(s, d).where(F.col("digit") >= 10).select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part WHERE p_size >= 10"),
         "B2_cv_balloons": (lambda s, d: numbers(s, d).where("circle and digit between 1 and 200").select("p_partkey", F.col("digit").alias("char_no")), "SELECT p_partkey, p_size::INT AS char_no FROM part"),
         "A10_best_digit": (lambda s, d: numbers(s, d).select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part"),
+        "F12_cv_range": (lambda s, d: numbers(s, d).where("digit between 1 and 200").select("p_partkey", "digit"), "SELECT p_partkey, p_size::INT AS digit FROM part WHERE p_size BETWEEN 1 AND 200"),
+        "K2_snippet_sink": (cut, "SELECT p_partkey, format('char_{:03d}_revA_p0.png', p_partkey) AS name, CASE WHEN error IS NULL THEN x1 - x0 END AS w, CASE WHEN error IS NULL THEN 68 END AS h, error FROM (SELECT p_partkey, greatest(0, p_size * 2 - 10)::INT AS x0, least(68, p_size + 30)::INT AS x1, CASE WHEN p_size >= 20 THEN 'Invalid bbox' WHEN least(68, p_size + 30) <= greatest(0, p_size * 2 - 10) THEN 'Clamped bbox is empty' END AS error FROM part)"),
+        "K3_debug_overlay_sink": (ringed, query("SELECT drawing_id, count(*) AS n_marked FROM (SELECT DISTINCT drawing_id, px + dx AS x, py + dy AS y FROM (SELECT s.drawing_id, trunc(round(0.2::DOUBLE * ((h00 * ((x0 + x1) / 2) + h01 * ((y0 + y1) / 2) + h02) / (h20 * ((x0 + x1) / 2) + h21 * ((y0 + y1) / 2) + h22)), 6))::BIGINT AS px, trunc(round(0.2::DOUBLE * ((h10 * ((x0 + x1) / 2) + h11 * ((y0 + y1) / 2) + h12) / (h20 * ((x0 + x1) / 2) + h21 * ((y0 + y1) / 2) + h22)), 6))::BIGINT AS py FROM spans_a s JOIN transforms USING (drawing_id)) CROSS JOIN (SELECT a.v AS dx, b.v AS dy FROM (SELECT unnest(range(-6, 7)) AS v) a, (SELECT unnest(range(-6, 7)) AS v) b WHERE abs(sqrt(a.v * a.v + b.v * b.v) - 5) <= 1)) WHERE x BETWEEN 0 AND 199 AND y BETWEEN 0 AND 239 GROUP BY drawing_id")),
         "V2_circle_validate": (lambda s, d: measured(s, d).select("p_partkey", "circle_ok"), "SELECT p_partkey, true AS circle_ok FROM part"),
         "V0_grayscale": (greys, "SELECT b, g, r, ((114 * b + 587 * g + 299 * r + 500) // 1000)::INT AS grey FROM (SELECT DISTINCT (l_partkey % 256)::INT AS b, (l_suppkey * 3 % 256)::INT AS g, (l_orderkey % 256)::INT AS r FROM lineitem)"),
         "V4_otsu_binarize": (lambda s, d: measured(s, d).select("p_partkey", "threshold", "n_ink"), None),

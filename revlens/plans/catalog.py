@@ -170,6 +170,13 @@ for _name, (_cols, _sqls) in _GEO.items():
         query(f"SELECT drawing_id, span_ord, {', '.join(f'round({q}, 6) AS v{i}' for i, q in enumerate(_sqls))} FROM ({_BOXES}) WHERE bx0 IS NOT NULL"),
     )
 
+_ALL = ", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in zip(_ALL_X, _ALL_Y, strict=True))
+_add(
+    "A9_corner_extent",
+    lambda s, d: Chain(s, d).boxes().select("drawing_id", "span_ord", *[r6(c).alias(f"v{i}") for i, c in enumerate(G.extent([G.project(F.col(x), F.col(y), _H()) for x in ("x0", "x1") for y in ("y0", "y1")]))]),
+    query(f"SELECT drawing_id, span_ord, round(min(c.x), 6) AS v0, round(min(c.y), 6) AS v1, round(max(c.x), 6) AS v2, round(max(c.y), 6) AS v3 FROM (SELECT drawing_id, span_ord, unnest([{_ALL}]) AS c FROM ({_BOXES})) GROUP BY drawing_id, span_ord"),
+)
+
 # --- balloons ------------------------------------------------------------------------
 _DIGITS = "SELECT doc_id, pos - 1 AS token_pos, tok::INT AS char_no, len(toks) AS n_tokens FROM (SELECT doc_id, toks, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda t: t <> '') AS toks FROM documents)) WHERE regexp_full_match(tok, '[0-9]+') AND length(ltrim(tok, '0')) BETWEEN 1 AND 3 AND try_cast(tok AS INT) BETWEEN 1 AND 200"
 _SHAPE = "x1 - x0 BETWEEN 5 AND 50 AND y1 - y0 BETWEEN 5 AND 50 AND (x1 - x0) / (y1 - y0) BETWEEN 0.3 AND 2.0"
@@ -212,7 +219,6 @@ _add("F11_cv_gate", lambda s, d: balloons.sparse_pages(_numbered(s, d).select("d
 _add("U2_union_detections", lambda s, d: balloons.detections(table(s, d, "hits").where("method = 'pdf_text'"), table(s, d, "hits").where("method = 'cv'")).select("drawing_id", "det_ord", "char_no", "method", r6("confidence").alias("confidence")), query("SELECT drawing_id, det_ord, char_no, method, round(confidence, 6) AS confidence FROM hits"))
 _add("A2_balloon_dedupe", lambda s, d: Chain(s, d).balloons().select("drawing_id", "char_no", "seen_ord", "method", "det_ord", r6("confidence").alias("confidence")), query("SELECT drawing_id, char_no, seen_ord, method, det_ord, round(confidence, 6) AS confidence FROM balloons"))
 _add("S9_balloon_scan", lambda s, d: balloons.dedupe(balloons.detections(_lane(s, d).withColumnRenamed("page", "page_index"), balloons.sparse_pages(_numbered(s, d).select("drawing_id", "page").distinct(), _lane(s, d)).join(table(s, d, "hits").where("method = 'cv'").withColumnRenamed("page_index", "page"), ["drawing_id", "page"]).withColumnRenamed("page", "page_index").drop("n"))).select("drawing_id", "char_no", "seen_ord", "method"), _with("SELECT drawing_id, char_no, min(det_ord) AS seen_ord, arg_max(method, (confidence, -det_ord)) AS method FROM (SELECT drawing_id, char_no, det_ord, confidence, method FROM lane UNION ALL SELECT h.drawing_id, char_no, det_ord, confidence, method FROM hits h JOIN sparse s ON s.drawing_id = h.drawing_id AND s.page = h.page_index WHERE method = 'cv') GROUP BY drawing_id, char_no", _NUMBERED, _TOKENS, _LANE, _SPARSE))
-_add("F12_cv_range", lambda s, d: table(s, d, "items").withColumn("digit", F.col("q") * 7).where(F.col("digit").between(1, 200)).select("drawing_id", "ord", "digit"), query("SELECT drawing_id, ord, q * 7 AS digit FROM items WHERE q * 7 BETWEEN 1 AND 200"))
 
 # --- anchors -------------------------------------------------------------------------
 _ONE = "drawing_id, char_no"
@@ -254,8 +260,9 @@ _FLOAT = lambda x: f"CASE WHEN {x} = floor({x}) THEN {x}::HUGEINT::VARCHAR || '.
 _REASON_PARTS = f"list_filter([CASE WHEN symbol_match > 0 THEN 'symbols: ' || {_SET('list_intersect(a_symbols, s_symbols)')} END, CASE WHEN count_bonus > 0 THEN 'counts: ' || {_SET('a_counts')} || ' vs ' || {_SET('s_counts')} END, CASE WHEN numeric_overlap > 0 THEN 'numerics: ' || trunc(numeric_overlap * 100)::INT || '%' END, CASE WHEN primary_match > 0 THEN 'primary=' || {_FLOAT('a_primary')} END], lambda x: x IS NOT NULL)"
 _add(
     "M11_reasons",
-    lambda s, d: Chain(s, d).cands().select(*_PAIR, F.array_join(F.filter(candidates.reasons(), lambda r: ~F.startswith(r, F.lit("within")) & ~F.startswith(r, F.lit("context"))), "; ").alias("reasons")),
-    query(f"SELECT {', '.join(_PAIR)}, array_to_string(list_filter([CASE WHEN primary_penalty > 0 THEN 'primary value ' || {_FLOAT('a_primary')} || ' not found in span' END, CASE WHEN len({_REASON_PARTS}) > 0 THEN 'matched: ' || array_to_string({_REASON_PARTS}, ', ') END], lambda x: x IS NOT NULL), '; ') AS reasons FROM cands"),
+    lambda s, d: Chain(s, d).cands().select(*_PAIR, F.array_join(candidates.reasons(), "; ").alias("reasons")),
+    query(f"""SELECT {', '.join(_PAIR)}, array_to_string(list_filter([CASE WHEN location_score > 0 THEN format('within {{:.1f}} mm of predicted location', dist * 25.4{D} / 72.0{D}) END, CASE WHEN primary_penalty > 0 THEN 'primary value ' || {_FLOAT('a_primary')} || ' not found in span' END,
+      CASE WHEN len({_REASON_PARTS}) > 0 THEN 'matched: ' || array_to_string({_REASON_PARTS}, ', ') END, CASE WHEN context_score > 0 THEN format('context similarity: {{:.2f}}', context_score) END], lambda x: x IS NOT NULL), '; ') AS reasons FROM cands"""),
 )
 
 # --- assignment and classification ---------------------------------------------------
@@ -269,18 +276,17 @@ _add("C8_clip", lambda s, d: Chain(s, d).classes().select("drawing_id", "char_no
 _add("C9_scores_map", lambda s, d: Chain(s, d).classes().select("drawing_id", "char_no", *[r6(F.col("scores")[k]).alias(k) for k in ("location", "text", "context")]), query("SELECT drawing_id, char_no, CASE WHEN matched THEN round(location_score, 6) ELSE 0 END AS location, CASE WHEN matched THEN round(ov, 6) ELSE 0 END AS text, CASE WHEN matched THEN round(context_score, 6) ELSE 0 END AS context FROM classes"))
 _LIST = lambda x: f"'[' || array_to_string(list_transform(list_sort({x}), lambda v: {_FLOAT('v')}), ', ') || ']'"
 _PCT = "trunc(ov * 100)::INT"
-_add(
-    "C11_reasons",
-    lambda s, d: Chain(s, d).classes().select("drawing_id", "char_no", F.array_join("reasons", "; ").alias("reasons")),
-    query(f"""SELECT drawing_id, char_no, array_to_string(list_filter([CASE branch WHEN 'C1' THEN 'No candidate found within search window' WHEN 'C2' THEN 'Count changed: ' || {_SET('a_counts')} || ' → ' || {_SET('s_counts')}
+oracle.CTES["class_reasons"] = f"""class_reasons AS (SELECT drawing_id, char_no, array_to_string(list_filter([CASE branch WHEN 'C1' THEN 'No candidate found within search window' WHEN 'C2' THEN 'Count changed: ' || {_SET('a_counts')} || ' → ' || {_SET('s_counts')}
       WHEN 'C3' THEN 'Numeric values match (' || {_PCT} || '% overlap)' WHEN 'C4' THEN 'Numeric values changed (only ' || {_PCT} || '% overlap)' WHEN 'C5' THEN 'Location strongly suggests same requirement' ELSE 'Weak match confidence' END,
       CASE WHEN branch = 'C3' AND len(a_counts) > 0 AND list_sort(a_counts) = list_sort(s_counts) THEN 'Count tokens match: ' || {_SET('a_counts')} WHEN branch = 'C4' THEN 'Anchor: ' || {_LIST('a_numbers')} || ', Matched: ' || {_LIST('s_numbers')} WHEN branch = 'C5' THEN 'Numeric overlap: ' || {_PCT} || '%' END,
-      CASE WHEN matched AND location_score > 0.7 THEN 'High location agreement after global alignment' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM classes"""),
-)
+      CASE WHEN matched AND location_score > 0.7 THEN 'High location agreement after global alignment' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM classes)"""
+_add("C11_reasons", lambda s, d: Chain(s, d).classes().select("drawing_id", "char_no", F.array_join("reasons", "; ").alias("reasons")), query("SELECT * FROM class_reasons"))
 _add("J7_unmatched_spans", lambda s, d: classification.unmatched(table(s, d, "spans_b"), Chain(s, d).matched()).select("drawing_id", "span_ord"), query("SELECT drawing_id, span_ord FROM free_spans"))
 _add("U6_key_difference", lambda s, d: classification.unmatched(table(s, d, "spans_b"), Chain(s, d).matched()).groupBy("drawing_id").agg(F.count("*").alias("n")), query("SELECT drawing_id, count(*) AS n FROM free_spans GROUP BY drawing_id"))
 _add("F9_added_filter", lambda s, d: classification.looks_new(table(s, d, "spans_b")).select("drawing_id", "span_ord"), query(f"SELECT drawing_id, span_ord FROM places WHERE length(trim(text)) >= 3 AND len(s_numbers) > 0 AND (len(s_symbols) > 0 OR len(s_counts) > 0) AND NOT regexp_matches({oracle.norm('text')}, 'ADDED|NEW|REVISED|DELETED')"))
-_add("C10_added", lambda s, d: Chain(s, d).added().select("drawing_id", "char_no", "span_ord", r6("confidence").alias("confidence")), query("SELECT drawing_id, char_no, span_ord, round(confidence, 6) AS confidence FROM added"))
+_WORDS = lambda x: f"'[' || array_to_string(list_transform({x}, lambda v: '''' || v || ''''), ', ') || ']'"
+oracle.CTES["added_reasons"] = f"""added_reasons AS (SELECT drawing_id, char_no, @TEXT@ || trim(text) || '"; ' || @MARKS@ || {_WORDS('s_symbols')} || ', Counts: ' || {_WORDS(oracle.counts(oracle.norm('text')))} AS reasons FROM added)""".replace("@TEXT@", f"'{classification.NEW_TEXT}'").replace("@MARKS@", f"'{classification.NEW_MARKS}'")
+_add("C10_added", lambda s, d: Chain(s, d).added().select("drawing_id", "char_no", "span_ord", r6("confidence").alias("confidence"), F.array_join("reasons", "; ").alias("reasons")), query("SELECT a.drawing_id, a.char_no, a.span_ord, round(a.confidence, 6) AS confidence, reasons FROM added a JOIN added_reasons r ON r.drawing_id = a.drawing_id AND r.char_no = a.char_no"))
 _add("W4_added_numbering", lambda s, d: Chain(s, d).added().select("drawing_id", "span_ord", "char_no"), query("SELECT drawing_id, span_ord, char_no FROM added"))
 _ITEMS = ["drawing_id", "is_added", "item_ord", "char_no", "status"]
 _add("U1_union_items", lambda s, d: Chain(s, d).items().select(*_ITEMS, r6("confidence").alias("confidence")), query(f"SELECT {', '.join(_ITEMS)}, round(confidence, 6) AS confidence FROM all_items"))
@@ -293,10 +299,6 @@ for _module in (form3, alignment, evidence, packets, cases):
         _add(_name, _run, _sql)
 
 
-for _copy, _of in (("A9_corner_extent", "G7_project_bbox"), ("K3_debug_overlay_sink", "G6_project_point")):
-    _add(_copy, _QUERIES[_of], _SQL[_of])
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -182,3 +182,26 @@ def test_empty_drawings_give_empty_results(spark):
     assert assignment.greedy(edges).count() == 0 and assignment.dominant(edges).count() == 0
     items = spark.createDataFrame([], "drawing_id int, is_added int, item_ord int, status string")
     assert classification.status_counts(items).count() == 0 and packets.numbered(items).count() == 0
+
+
+def test_overlay_rings_points_and_cuts_what_is_outside():
+    page = np.full((40, 50, 3), 255, dtype=np.uint8)
+    drawn = vision.overlay(page, np.array([[20.9, 15.2], [0, 0], [500, 500]]))
+    assert (page == 255).all() and drawn.shape == page.shape
+    want = {(x, y) for cx, cy in ((20, 15), (0, 0)) for x in range(50) for y in range(40) if abs(np.hypot(x - cx, y - cy) - 5) <= 1}
+    assert {(int(x), int(y)) for y, x in zip(*np.nonzero((drawn == (0, 255, 0)).all(axis=2)), strict=True)} == want
+    assert (vision.overlay(page, np.zeros((0, 2))) == page).all()
+
+
+def test_snippets_are_cut_written_and_errors_kept(spark, tmp_path):
+    page = np.arange(30 * 40 * 3, dtype=np.uint32).astype(np.uint8).reshape(30, 40, 3)
+    pages = spark.createDataFrame([(1, 30, 40, page.tobytes())], "page int, h int, w int, data binary")
+    boxes = [(1, "a.png", 5, 5, 10, 12), (1, "a.png", 5, 5, 10, 12), (1, "b.png", 7, 7, 7, 9), (1, "n.png", None, 1, 2, 3), (2, "c.png", 1, 1, 4, 4)]
+    regions = spark.createDataFrame(boxes, "page int, name string, x0 int, y0 int, x1 int, y1 int")
+    cut = vision.snippets(pages, regions, ["page"], pad=3)
+    got = {(r["page"], r["name"]): (None if r["png"] is None else bytes(r["png"]), r["error"]) for r in cut.collect()}
+    assert cut.count() == 5 and got[1, "a.png"] == (vision.png(page[2:15, 2:13]), None)
+    assert all(got[k][0] is None and got[k][1] for k in ((1, "b.png"), (1, "n.png"), (2, "c.png")))
+    assert vision.write_files(cut, str(tmp_path / "run" / "snippets")).count() == 2
+    assert [f.name for f in (tmp_path / "run" / "snippets").iterdir()] == ["a.png"]
+    assert (tmp_path / "run" / "snippets" / "a.png").read_bytes() == got[1, "a.png"][0]

@@ -20,12 +20,12 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_ord", F.row_number().over(order))
 
 
-def greedy(edges: DataFrame) -> DataFrame:
-    """Accepted edges (drawing_id, char_no, cand_rank): a fold over each drawing's ordered edges.
+def greedy(edges: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted edges (drawing_id, char_no, cand_rank and what is carried): a fold over each drawing's ordered edges.
 
     For drawings whose edges fit one row; :func:`dominant` has no such bound.
     """
-    edge = F.struct("total_score", "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"))
+    edge = F.struct("total_score", "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"), *carried)
     folded = edges.groupBy("drawing_id").agg(F.collect_list(edge).alias("edges"))
     better = lambda a, b: F.when(a["total_score"] != b["total_score"], F.when(a["total_score"] > b["total_score"], -1).otherwise(1)).when(a["anchor_ord"] != b["anchor_ord"], F.signum(a["anchor_ord"] - b["anchor_ord"]).cast("int")).otherwise(F.signum(a["cand_rank"] - b["cand_rank"]).cast("int"))
     empty = F.filter(F.col("edges"), lambda e: F.lit(False))
@@ -35,7 +35,7 @@ def greedy(edges: DataFrame) -> DataFrame:
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(e)))
 
     chosen = F.aggregate(F.array_sort("edges", better), empty, step)
-    return folded.select("drawing_id", F.explode(chosen).alias("e")).select("drawing_id", "e.char_no", "e.cand_rank")
+    return folded.select("drawing_id", F.explode(chosen).alias("e")).select("drawing_id", "e.char_no", "e.cand_rank", *[f"e.{c}" for c in carried])
 
 
 def dominant(edges: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -108,11 +108,17 @@ def added(spans: DataFrame, matches: DataFrame, anchors: DataFrame) -> DataFrame
 ITEM = ["drawing_id", "is_added", "item_ord", "char_no", "status", "confidence", "reasons", "scores", "span_ord", "x0", "y0", "x1", "y1"]
 
 
+def old_items(classes: DataFrame) -> DataFrame:
+    return classes.withColumns({"is_added": F.lit(0), "item_ord": F.col("anchor_ord")}).select(*ITEM)
+
+
+def new_items(new: DataFrame) -> DataFrame:
+    return new.withColumns({"is_added": F.lit(1), "item_ord": F.col("span_ord")}).select(*ITEM)
+
+
 def items(classes: DataFrame, new: DataFrame) -> DataFrame:
     """All items: anchors in form order, then the added ones."""
-    old = classes.withColumns({"is_added": F.lit(0), "item_ord": F.col("anchor_ord")}).select(*ITEM)
-    more = new.withColumns({"is_added": F.lit(1), "item_ord": F.col("span_ord")}).select(*ITEM)
-    return old.unionByName(more)
+    return old_items(classes).unionByName(new_items(new))
 
 
 def status_counts(all_items: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def registered(chain, table, query):
         "I2_bbox_fold": (lambda s, d: expanded(boxes(s, d), table(s, d, "spans_b")).select("drawing_id", "item", *[r(f"e{i}").alias(f"e{i}") for i in range(4)], F.col("n_included").cast("long").alias("n_included")), query("SELECT drawing_id, item, round(e0, 6) AS e0, round(e1, 6) AS e1, round(e2, 6) AS e2, round(e3, 6) AS e3, n_included FROM expanded_b")),
         "J10_fallback_span": (lambda s, d: fallback_spans(chain(s, d).linked(), table(s, d, "spans_a")).select("drawing_id", "char_no", "span_ord", r("value").alias("value")), query("SELECT drawing_id, char_no, span_ord, round(value, 6) AS value FROM fallback")),
         "F10_fallback_radius": (lambda s, d: fallback_spans(chain(s, d).linked(), table(s, d, "spans_a")).select("drawing_id", "char_no"), query("SELECT drawing_id, char_no FROM fallback")),
-        "J8_item_anchor": (lambda s, d: (lambda c: c.items().join(c.anchors().select("drawing_id", "char_no", "page"), ["drawing_id", "char_no"], "left").select("drawing_id", "is_added", "char_no", "page"))(chain(s, d)), query("SELECT i.drawing_id, is_added, i.char_no, page FROM all_items i LEFT JOIN anchors a ON a.drawing_id = i.drawing_id AND a.char_no = i.char_no")),
+        "J8_item_anchor": (lambda s, d: chain(s, d).each(lambda items, anchors: items.join(anchors.select("drawing_id", "char_no", "page"), ["drawing_id", "char_no"], "left").select("drawing_id", "is_added", "char_no", "page")), query("SELECT i.drawing_id, is_added, i.char_no, page FROM all_items i LEFT JOIN anchors a ON a.drawing_id = i.drawing_id AND a.char_no = i.char_no")),
         "E1_evidence_builder": (lambda s, d: regions(s, d).select("drawing_id", "is_added", "char_no", *[r(f"ea{i}").alias(f"ea{i}") for i in range(4)], *[r(f"eb{i}").alias(f"eb{i}") for i in range(4)]), _evidence_sql(query, CTES, D)),
     }
 

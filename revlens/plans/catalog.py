@@ -36,9 +36,10 @@ def r6(c: Column | str) -> Column:
 class Chain:
     """The reconciliation chain over the derived drawings.
 
-    Each step that later ones read is a table written once per application and
-    folder: plans stay small, queries share the steps, and a lost executor does
-    not start the chain over.
+    Two narrow tables are written, once per application and folder: the items, and
+    which span each anchor got. Both are dealt out by drawing, and every step works
+    on a drawing's rows where they lie, so a query computes only the columns that it
+    returns and nothing of the steps between is shuffled or written.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -46,42 +47,64 @@ class Chain:
         self.once = lambda name, frame: once(spark, sf_dir, name, frame)
 
     def balloons(self) -> DataFrame:
-        return self.once("balloons", lambda: balloons.dedupe(self.t("hits")))
+        return balloons.dedupe(self.t("hits"))
 
     def linked(self) -> DataFrame:
-        return self.once("linked", lambda: anchors.ballooned(self.t("form3"), self.balloons()))
+        return anchors.ballooned(self.t("form3"), self.balloons())
 
     def boxes(self) -> DataFrame:
         """Spans of the old revision with the balloon and the transform of their row."""
         b = self.balloons().select("drawing_id", F.col("char_no").alias("span_ord"), *G.named(G.box(), "b"))
-        return self.once("boxes", lambda: self.t("spans_a").join(self.t("transforms"), "drawing_id").join(b, ["drawing_id", "span_ord"], "left"))
+        return self.t("spans_a").join(self.t("transforms"), "drawing_id").join(b, ["drawing_id", "span_ord"], "left")
 
     def anchors(self) -> DataFrame:
-        return self.once("anchors", lambda: anchors.build_anchors(self.t("form3"), self.balloons(), self.t("spans_a")))
+        return anchors.build_anchors(self.t("form3"), self.balloons(), self.t("spans_a"))
 
     def places(self) -> DataFrame:
-        return self.once("places", lambda: candidates.span_contexts(self.t("spans_b")))
+        return candidates.span_contexts(self.t("spans_b"))
 
     def pairs(self) -> DataFrame:
-        return self.once("pairs", lambda: candidates.all_pairs(self.anchors(), self.places(), self.t("transforms")))
+        return candidates.all_pairs(self.anchors(), self.places(), self.t("transforms"))
 
     def cands(self) -> DataFrame:
-        return self.once("cands", lambda: candidates.top_candidates(self.pairs()))
+        return candidates.top_candidates(self.pairs())
+
+    def taken(self) -> DataFrame:
+        """Assigned spans by their keys. Drawings with too many rows for one fold, which is known before any pair is made, are assigned in rounds."""
+        kept = ("span_ord", "location_score", "context_score")
+        columns = ["drawing_id", "char_no", "cand_rank", "line_id", *kept]
+
+        def rows() -> DataFrame:
+            cands = self.cands()
+            large = self.t("items").groupBy("drawing_id").agg(F.count("*").alias("n")).where(F.col("n") * candidates.TOP_K > assignment.FOLD_EDGES).select("drawing_id")
+            if large.isEmpty():
+                return assignment.greedy(cands, ("line_id", *kept)).select(*columns)
+            rounds = assignment.matches(cands.join(large, "drawing_id", "left_semi")).select(*columns)
+            return assignment.greedy(cands.join(large, "drawing_id", "left_anti"), ("line_id", *kept)).select(*columns).unionByName(rounds)
+
+        return self.once("taken", rows)
 
     def matched(self) -> DataFrame:
-        return self.once("matched", lambda: assignment.matches(self.cands(), written=True))
+        """Assigned pairs with their span, whose tokens are read from its text again."""
+        spans = X.with_tokens(self.t("spans_b"), "text", "s_").drop("s_norm", "s_words")
+        return self.taken().join(spans, ["drawing_id", "span_ord", "line_id"])
 
     def classes(self) -> DataFrame:
-        return self.once("classes", lambda: classification.classify(self.anchors(), self.matched()))
+        return classification.classify(self.anchors(), self.matched())
 
     def added(self) -> DataFrame:
-        return self.once("added", lambda: classification.added(self.t("spans_b"), self.matched(), self.anchors()))
+        return classification.added(self.t("spans_b"), self.matched(), self.anchors())
 
     def items(self) -> DataFrame:
         return classification.items(self.classes(), self.added())
 
+    def each(self, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """``step(items, anchors)`` of the old items and of the added ones, whose numbers are above those of all anchors: joins before the union stay in place."""
+        anchors = self.anchors()
+        return step(classification.old_items(self.classes()), anchors).unionByName(step(classification.new_items(self.added()), anchors.where(F.lit(False))))
+
     def regions(self) -> DataFrame:
-        return self.once("regions", lambda: evidence.evidence(self.items(), self.anchors(), self.t("spans_a"), self.t("spans_b")))
+        return self.each(lambda items, anchors: evidence.evidence(items, anchors, self.t("spans_a"), self.t("spans_b")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from revlens.session import Scratch
+from revlens.session import IN_PLACE, Scratch
 
 ITEMS = """
 SELECT l_orderkey AS drawing_id,
@@ -65,6 +67,10 @@ SELECT drawing_id,
 TABLES = {"items": ITEMS, "placed": PLACED, "form3": FORM3, "hits": HITS, "spans_a": SPANS_A, "spans_b": SPANS_B, "transforms": TRANSFORMS}
 
 
+#: Rows of ``lineitem`` in a part of a table that is dealt out by drawing.
+PART_ROWS = 100_000
+#: Rows of ``part``, of two numbers each, that are sent to all executors; a larger table is joined by shuffling.
+SENT_ROWS = 2_000_000
 _SAVED: dict[tuple, DataFrame] = {}
 
 
@@ -80,10 +86,16 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[], DataFrame]) -> DataFrame:
-    """``frame()`` as a table written once per application, folder and state of its sources, for all queries that read it."""
+    """``frame()`` as a table written once per application, folder and state of its sources, for all queries that read it.
+
+    It is dealt out by drawing. All that follows keeps to that, so that no later
+    step shuffles or writes its rows again.
+    """
     key = spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name
     if key not in _SAVED:
-        _SAVED[key] = Scratch(spark, "derived").save(frame(), name)
+        spark.conf.set(*IN_PLACE)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // PART_ROWS))
+        _SAVED[key] = Scratch(spark, "derived").save_by(frame(), name, "drawing_id", parts)
     return _SAVED[key]
 
 
@@ -92,11 +104,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def rows() -> DataFrame:
         sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
+        if sources["part"].count() <= SENT_ROWS:
+            sources["part"] = F.broadcast(sources["part"].select("p_partkey", "p_size"))
         return spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **sources)
 
     return once(spark, sf_dir, "items", rows)
 
 
+def _one_pass(sql: str, schema: StructType) -> str:
+    """A ``UNION ALL`` of selections from ``placed`` as one pass over its rows: a union would not keep to the drawings' parts."""
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema[1:])
+    rows = []
+    for branch in sql.split("UNION ALL"):
+        columns, where = branch.strip().removeprefix("SELECT drawing_id,").split("FROM placed WHERE")
+        rows.append(f"CASE WHEN {where} THEN CAST(struct({columns}) AS STRUCT<{kind}>) END")
+    return f"SELECT drawing_id, inline(filter(array({', '.join(rows)}), r -> r IS NOT NULL)) FROM {{placed}}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table."""
     steps = {"items": items(spark, sf_dir)}
@@ -105,6 +129,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in steps:
         sql = TABLES[name].replace("FROM items", "FROM {items}").replace("FROM placed", "FROM {placed}")
         steps[name] = spark.sql(sql, **{t: steps[t] for t in ("items", "placed") if f"{{{t}}}" in sql})
+    if "UNION ALL" in TABLES[name]:
+        steps[name] = spark.sql(_one_pass(TABLES[name], steps[name].schema), placed=steps["placed"])
     return steps[name]
 
 

@@ -25,16 +25,16 @@ def greedy(edges: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
     For drawings whose edges fit one row; :func:`dominant` has no such bound.
     """
-    edge = F.struct("total_score", "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"), *carried)
-    folded = edges.groupBy("drawing_id").agg(F.collect_list(edge).alias("edges"))
-    better = lambda a, b: F.when(a["total_score"] != b["total_score"], F.when(a["total_score"] > b["total_score"], -1).otherwise(1)).when(a["anchor_ord"] != b["anchor_ord"], F.signum(a["anchor_ord"] - b["anchor_ord"]).cast("int")).otherwise(F.signum(a["cand_rank"] - b["cand_rank"]).cast("int"))
+    first = F.when(F.isnan("total_score"), float("-inf")).otherwise(-F.col("total_score"))  # not a number ranks above all scores
+    edge = F.struct(first.alias("first"), "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"), *carried)
+    folded = edges.groupBy("drawing_id").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     empty = F.filter(F.col("edges"), lambda e: F.lit(False))
 
     def step(taken, e):
         clash = F.exists(taken, lambda t: (t["char_no"] == e["char_no"]) | (t["span"] == e["span"]))
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(e)))
 
-    chosen = F.aggregate(F.array_sort("edges", better), empty, step)
+    chosen = F.aggregate("edges", empty, step)
     return folded.select("drawing_id", F.explode(chosen).alias("e")).select("drawing_id", "e.char_no", "e.cand_rank", *[f"e.{c}" for c in carried])
 
 

@@ -68,7 +68,7 @@ TABLES = {"items": ITEMS, "placed": PLACED, "form3": FORM3, "hits": HITS, "spans
 
 
 #: Rows of ``lineitem`` in a part of a table that is dealt out by drawing.
-PART_ROWS = 100_000
+PART_ROWS = 250_000
 #: Rows of ``part``, of two numbers each, that are sent to all executors; a larger table is joined by shuffling.
 SENT_ROWS = 2_000_000
 _SAVED: dict[tuple, DataFrame] = {}

@@ -27,7 +27,8 @@ def type_tokens(norm: Column) -> Column:
 
 
 def symbol_tokens(text: Column, norm: Column) -> Column:
-    return F.array_compact(F.array(F.when(F.contains(text, F.lit(DIAMETER)), F.lit(DIAMETER)), F.when(norm.rlike(r"R[\d.]"), F.lit("R"))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(F.contains(text, F.lit(DIAMETER)), F.array(F.lit(DIAMETER))).otherwise(none), F.when(norm.rlike(r"R[\d.]"), F.array(F.lit("R"))).otherwise(none))
 
 
 def numeric_tokens(norm: Column) -> Column:
@@ -35,7 +36,7 @@ def numeric_tokens(norm: Column) -> Column:
 
 
 def numeric_set(norm: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(NUMBER), F.lit(0)), lambda s: s.try_cast("double")))
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit(NUMBER), F.lit(0)).try_cast("array<double>"))
 
 
 def numeric_strings(text: Column) -> Column:
@@ -68,7 +69,7 @@ def pattern_class(text: Column, norm: Column) -> Column:
 
 
 def word_tokens(norm: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(norm, " "), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(norm, " "), ""))
 
 
 def fingerprint(text: Column) -> Column:

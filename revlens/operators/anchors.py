@@ -32,11 +32,11 @@ def outside_title_block(spans: DataFrame) -> DataFrame:
     return spans.where(~title & (F.length("text") <= 100) & (F.trim("text") != ""))
 
 
-def scored_spans(linked: DataFrame, spans: DataFrame) -> DataFrame:
+def scored_spans(linked: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
     """Every ballooned characteristic against its page's spans. A span's block id is compared with the balloon's page index."""
     page = outside_title_block(spans.join(page_extent(spans), ["drawing_id", "block_id"]))
     page = X.with_tokens(page, "text", "s_").select("drawing_id", F.col("block_id").alias("page"), "span_ord", "x0", "y0", "x1", "y1", "s_words")
-    rows = X.with_tokens(linked, "requirement", "a_").select(*linked.columns, "a_words").join(page, ["drawing_id", "page"])
+    rows = X.with_tokens(linked, "requirement", "a_").select(*linked.columns, "a_words").join(page, ["drawing_id", "page"], how)
     bcx, bcy = G.center(G.box("b"))
     cx, cy = G.center(G.box())
     both, either = F.size(F.array_intersect("a_words", "s_words")), F.size(F.array_union("a_words", "s_words"))
@@ -53,23 +53,40 @@ def best_spans(scored: DataFrame) -> DataFrame:
     return best.select("drawing_id", "char_no", F.col("best.span_ord").alias("req_ord"), F.col("best.score").alias("req_score"), *[F.col(f"best.r{c}").alias(f"r{c}") for c in G.CORNERS])
 
 
+def with_best(linked: DataFrame, spans: DataFrame) -> DataFrame:
+    """Characteristics, one row each, with their best span if any. Their columns go through the aggregation, so they are computed once."""
+    order = F.when(F.col("span_ord").isNotNull(), F.struct("score", (-F.col("span_ord")).alias("early")))
+    place = F.struct("span_ord", "score", *G.named(G.box(), "r"))
+    rest = [c for c in linked.columns if c not in ("drawing_id", "char_no")]
+    rows = scored_spans(linked, spans, "left").groupBy("drawing_id", "char_no").agg(F.any_value(F.struct(*rest)).alias("own"), F.max_by(place, order).alias("best"))
+    best = F.when(F.col("best.score") > LEAST_SCORE, F.col("best"))
+    rows = rows.withColumn("best", best)
+    return rows.select("drawing_id", "char_no", "own.*", F.col("best.span_ord").alias("req_ord"), F.col("best.score").alias("req_score"), *[F.col(f"best.r{c}").alias(f"r{c}") for c in G.CORNERS])
+
+
 def with_center(anchors: DataFrame) -> DataFrame:
     """Centre of the requirement, or of the balloon where none was found."""
     (rx, ry), (bx, by) = G.center(G.box("r")), G.center(G.box("b"))
     return anchors.withColumns({"acx": F.coalesce(rx, bx), "acy": F.coalesce(ry, by)})
 
 
-def contexts(anchors: DataFrame, spans: DataFrame) -> DataFrame:
-    """Words of all spans near each anchor, the requirement's own included."""
+def with_contexts(anchors: DataFrame, spans: DataFrame) -> DataFrame:
+    """Anchors with the words of all spans near each, the requirement's own included. The narrow spans are repeated, an anchor goes through once."""
     places = X.with_tokens(spans, "text", "s_").select("drawing_id", F.col("block_id").alias("page"), "s_words", ((F.col("x0") + F.col("x1")) / 2).alias("scx"), ((F.col("y0") + F.col("y1")) / 2).alias("scy"))
-    near = G.grid_join(anchors.select("drawing_id", "char_no", "page", "acx", "acy"), places, ["drawing_id", "page"], ("acx", "acy"), ("scx", "scy"), CONTEXT_RADIUS)
-    return near.groupBy("drawing_id", "char_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s_words")))).alias("context_words"), F.count("*").alias("n_context"))
+    near = G.cell_join(places, anchors, ["drawing_id", "page"], ("scx", "scy"), ("acx", "acy"), CONTEXT_RADIUS, "left")
+    close = lambda x: F.when(F.col("dist") <= CONTEXT_RADIUS, x)
+    rest = [c for c in anchors.columns if c not in ("drawing_id", "char_no")]
+    words = F.sort_array(F.array_distinct(F.flatten(F.collect_list(close(F.col("s_words"))))))
+    rows = near.groupBy("drawing_id", "char_no").agg(F.any_value(F.struct(*rest)).alias("own"), words.alias("context_words"), F.count(close(F.lit(1))).alias("n_context"))
+    return rows.select("drawing_id", "char_no", "own.*", "context_words", "n_context")
+
+
+def found_anchors(form3: DataFrame, balloons: DataFrame, spans: DataFrame) -> DataFrame:
+    """Anchors without context words: characteristic, balloon and requirement place (nullable)."""
+    anchors = with_center(with_best(ballooned(form3, balloons), spans))
+    return anchors.withColumn("requirement_norm", X.norm_text(F.col("requirement"))).withColumnRenamed("row_ord", "anchor_ord")
 
 
 def build_anchors(form3: DataFrame, balloons: DataFrame, spans: DataFrame) -> DataFrame:
     """Anchors: characteristic, balloon, requirement place (nullable) and context words."""
-    linked = ballooned(form3, balloons)
-    anchors = with_center(linked.join(best_spans(scored_spans(linked, spans)), ["drawing_id", "char_no"], "left"))
-    found = anchors.join(contexts(anchors, spans), ["drawing_id", "char_no"], "left")
-    empty = F.array().cast("array<string>")
-    return found.withColumns({"context_words": F.coalesce("context_words", empty), "n_context": F.coalesce("n_context", F.lit(0)), "requirement_norm": X.norm_text(F.col("requirement"))}).withColumnRenamed("row_ord", "anchor_ord")
+    return with_contexts(found_anchors(form3, balloons, spans), spans)

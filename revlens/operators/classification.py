@@ -25,7 +25,7 @@ NEW_TEXT, NEW_MARKS = 'New requirement detected in Rev B: "', "Symbols: "
 
 def _tests() -> dict[str, Column]:
     c = F.col
-    changed = (F.size("a_counts") > 0) & (F.size("s_counts") > 0) & (F.array_sort("a_counts") != F.array_sort("s_counts"))
+    changed = (F.size("a_counts") > 0) & (F.size("s_counts") > 0) & (F.sort_array("a_counts") != F.sort_array("s_counts"))
     return {"matched": c("matched"), "count_changed": changed, "count_missing": (F.size("a_counts") > 0) & (F.size("s_counts") == 0), "symbols_kept": F.size(F.array_except("a_symbols", "s_symbols")) == 0}
 
 
@@ -56,7 +56,7 @@ def classified(rows: DataFrame) -> DataFrame:
         F.when(is_("C1"), F.lit(REMOVED)),
         F.when(is_("C2"), F.concat(F.lit(COUNT_CHANGED), X.set_text(c("a_counts")), F.lit(" → "), X.set_text(c("s_counts")))),
         F.when(is_("C3"), F.concat(F.lit(VALUES_MATCH), percent, F.lit("% overlap)"))),
-        F.when(is_("C3") & (F.size("a_counts") > 0) & (F.array_sort("a_counts") == F.array_sort("s_counts")), F.concat(F.lit(COUNTS_MATCH), X.set_text(c("a_counts")))),
+        F.when(is_("C3") & (F.size("a_counts") > 0) & (F.sort_array("a_counts") == F.sort_array("s_counts")), F.concat(F.lit(COUNTS_MATCH), X.set_text(c("a_counts")))),
         F.when(is_("C4"), F.concat(F.lit(VALUES_CHANGED), percent, F.lit("% overlap)"))),
         F.when(is_("C4"), F.concat(F.lit("Anchor: "), numbers("a_numbers"), F.lit(", Matched: "), numbers("s_numbers"))),
         F.when(is_("C5"), F.lit(SAME_PLACE)),
@@ -73,10 +73,14 @@ def classified(rows: DataFrame) -> DataFrame:
 
 def classify(anchors: DataFrame, matches: DataFrame, coverage: float = 1.0) -> DataFrame:
     """Every anchor with its match, if any, classified."""
-    tokens = X.with_tokens(anchors.select("drawing_id", "char_no", "anchor_ord", "requirement"), "requirement", "a_").drop("a_norm", "a_words")
     found = matches.select("drawing_id", "char_no", F.lit(True).alias("matched"), "location_score", "context_score", "span_ord", "text", *SPAN_KEY, "s_counts", "s_symbols", "s_numbers")
-    rows = tokens.join(found, ["drawing_id", "char_no"], "left").withColumn("matched", F.coalesce("matched", F.lit(False))).withColumn("coverage", F.lit(coverage))
-    return classified(rows)
+    return classify_rows(anchors.select("drawing_id", "char_no", "anchor_ord", "requirement").join(found, ["drawing_id", "char_no"], "left"), coverage)
+
+
+def classify_rows(rows: DataFrame, coverage: float = 1.0) -> DataFrame:
+    """Anchors that have their match in the same row, ``matched`` being null where there is none."""
+    tokens = X.with_tokens(rows, "requirement", "a_").drop("a_norm", "a_words")
+    return classified(tokens.withColumns({"matched": F.coalesce("matched", F.lit(False)), "coverage": F.lit(coverage)}))
 
 
 def looks_new(spans: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ class Chain:
     """The reconciliation chain over the derived drawings.
 
     Two narrow tables are written, once per application and folder: the items, and
-    which span each anchor got. Both are dealt out by drawing, and every step works
-    on a drawing's rows where they lie, so a query computes only the columns that it
-    returns and nothing of the steps between is shuffled or written.
+    the anchors with the span that each got. Both are dealt out by drawing, and every
+    step works on a drawing's rows where they lie, so a query computes only the columns
+    that it returns and nothing of the steps between is shuffled or written.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -57,24 +57,28 @@ class Chain:
         b = self.balloons().select("drawing_id", F.col("char_no").alias("span_ord"), *G.named(G.box(), "b"))
         return self.t("spans_a").join(self.t("transforms"), "drawing_id").join(b, ["drawing_id", "span_ord"], "left")
 
+    def found(self) -> DataFrame:
+        """Anchors without their context words."""
+        return anchors.found_anchors(self.t("form3"), self.balloons(), self.t("spans_a"))
+
     def anchors(self) -> DataFrame:
-        return anchors.build_anchors(self.t("form3"), self.balloons(), self.t("spans_a"))
+        return anchors.with_contexts(self.found(), self.t("spans_a"))
 
     def places(self) -> DataFrame:
         return candidates.span_contexts(self.t("spans_b"))
 
     def pairs(self) -> DataFrame:
-        return candidates.all_pairs(self.anchors(), self.places(), self.t("transforms"))
+        return candidates.all_pairs(self.anchors(), self.places(), self.t("transforms"), self.t("spans_b"))
 
     def cands(self) -> DataFrame:
         return candidates.top_candidates(self.pairs())
 
     def taken(self) -> DataFrame:
-        """Assigned spans by their keys. Drawings with too many rows for one fold, which is known before any pair is made, are assigned in rounds."""
+        """Anchors with the key and the scores of the span that each got, if any. Drawings with too many rows for one fold, which is known before any pair is made, are assigned in rounds."""
         kept = ("span_ord", "location_score", "context_score")
-        columns = ["drawing_id", "char_no", "cand_rank", "line_id", *kept]
+        columns = ["drawing_id", "char_no", "line_id", *kept]
 
-        def rows() -> DataFrame:
+        def assigned() -> DataFrame:
             cands = self.cands()
             large = self.t("items").groupBy("drawing_id").agg(F.count("*").alias("n")).where(F.col("n") * candidates.TOP_K > assignment.FOLD_EDGES).select("drawing_id")
             if large.isEmpty():
@@ -82,25 +86,35 @@ class Chain:
             rounds = assignment.matches(cands.join(large, "drawing_id", "left_semi")).select(*columns)
             return assignment.greedy(cands.join(large, "drawing_id", "left_anti"), ("line_id", *kept)).select(*columns).unionByName(rounds)
 
+        def rows() -> DataFrame:
+            own = self.found().select("drawing_id", "char_no", "anchor_ord", "page", "requirement", *[f"{b}{c}" for b in "br" for c in G.CORNERS])
+            return own.join(assigned(), ["drawing_id", "char_no"], "left")
+
         return self.once("taken", rows)
 
+    def pairings(self) -> DataFrame:
+        """Keys of the spans that anchors got."""
+        return self.taken().where("span_ord is not null").select("drawing_id", "char_no", "span_ord", "line_id", "location_score", "context_score")
+
     def matched(self) -> DataFrame:
-        """Assigned pairs with their span, whose tokens are read from its text again."""
-        spans = X.with_tokens(self.t("spans_b"), "text", "s_").drop("s_norm", "s_words")
-        return self.taken().join(spans, ["drawing_id", "span_ord", "line_id"])
+        """Assigned pairs with their span."""
+        return self.pairings().join(self.t("spans_b"), ["drawing_id", "span_ord", "line_id"])
 
     def classes(self) -> DataFrame:
-        return classification.classify(self.anchors(), self.matched())
+        """Tokens of the spans are read from their texts again."""
+        spans = self.t("spans_b").withColumn("matched", F.lit(True))
+        own = self.taken().drop("page", *[f"{b}{c}" for b in "br" for c in G.CORNERS]).join(spans, ["drawing_id", "span_ord", "line_id"], "left")
+        return classification.classify_rows(X.with_tokens(own, "text", "s_").drop("s_norm", "s_words"))
 
     def added(self) -> DataFrame:
-        return classification.added(self.t("spans_b"), self.matched(), self.anchors())
+        return classification.added(self.t("spans_b"), self.matched(), self.taken())
 
     def items(self) -> DataFrame:
         return classification.items(self.classes(), self.added())
 
     def each(self, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         """``step(items, anchors)`` of the old items and of the added ones, whose numbers are above those of all anchors: joins before the union stay in place."""
-        anchors = self.anchors()
+        anchors = self.taken()
         return step(classification.old_items(self.classes()), anchors).unionByName(step(classification.new_items(self.added()), anchors.where(F.lit(False))))
 
     def regions(self) -> DataFrame:
@@ -255,10 +269,10 @@ _add("F3_blank_span", lambda s, d: s.read.parquet(f"{d}/documents.parquet").wher
 _add("F4_page_filter", lambda s, d: Chain(s, d).linked().join(table(s, d, "spans_a").select("drawing_id", F.col("block_id").alias("page"), "span_ord"), ["drawing_id", "page"]).select("drawing_id", "char_no", "span_ord"), query("SELECT l.drawing_id, char_no, span_ord FROM linked l JOIN spans_a s ON s.drawing_id = l.drawing_id AND s.block_id = l.page"))
 _add("M1a_anchor_score", lambda s, d: _scores(s, d).select("drawing_id", "char_no", "span_ord", r6("score").alias("score")), query("SELECT drawing_id, char_no, span_ord, round(score, 6) AS score FROM anchor_scores"))
 _add("A3_best_span", lambda s, d: anchors.best_spans(_scores(s, d)).select("drawing_id", "char_no", "req_ord", r6("req_score").alias("req_score")), query("SELECT drawing_id, char_no, req_ord, round(req_score, 6) AS req_score FROM best"))
-_add("J2_anchor_best_span", lambda s, d: Chain(s, d).anchors().select("drawing_id", "char_no", "anchor_ord", "req_ord"), query("SELECT drawing_id, char_no, anchor_ord, req_ord FROM anchors"))
+_add("J2_anchor_best_span", lambda s, d: Chain(s, d).found().select("drawing_id", "char_no", "anchor_ord", "req_ord"), query("SELECT drawing_id, char_no, anchor_ord, req_ord FROM anchors"))
 _add("J3_local_context", lambda s, d: Chain(s, d).anchors().select("drawing_id", "char_no", "n_context"), query("SELECT drawing_id, char_no, n_context FROM anchors"))
 _add("F7_local_context_radius", lambda s, d: Chain(s, d).anchors().select("drawing_id", "char_no", F.array_join("context_words", " ").alias("words")), query("SELECT drawing_id, char_no, array_to_string(context_words, ' ') AS words FROM anchors"))
-_add("A5_max_char_no", lambda s, d: Chain(s, d).anchors().groupBy("drawing_id").agg(F.max("char_no").alias("last")), query("SELECT drawing_id, max(char_no) AS last FROM anchors GROUP BY drawing_id"))
+_add("A5_max_char_no", lambda s, d: Chain(s, d).found().groupBy("drawing_id").agg(F.max("char_no").alias("last")), query("SELECT drawing_id, max(char_no) AS last FROM anchors GROUP BY drawing_id"))
 
 # --- candidates and scores -----------------------------------------------------------
 _PAIR = ["drawing_id", "char_no", "span_ord"]
@@ -315,7 +329,7 @@ _ITEMS = ["drawing_id", "is_added", "item_ord", "char_no", "status"]
 _add("U1_union_items", lambda s, d: Chain(s, d).items().select(*_ITEMS, r6("confidence").alias("confidence")), query(f"SELECT {', '.join(_ITEMS)}, round(confidence, 6) AS confidence FROM all_items"))
 _add("W6_item_order", lambda s, d: packets.numbered(Chain(s, d).items()).select("drawing_id", "item_no", "char_no", "status"), query("SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY is_added, item_ord)::INT AS item_no, char_no, status FROM all_items"))
 _add("A11_status_counts", flagship, query("SELECT status, count(*) AS n FROM all_items GROUP BY status"))
-_add("A12_coverage_metrics", lambda s, d: classification.coverage_metrics(table(s, d, "form3"), Chain(s, d).anchors(), Chain(s, d).classes()).select("drawing_id", *[r6(c).alias(c) for c in ("anchor_coverage", "match_rate", "uncertain_rate")]), query("SELECT drawing_id, round(coalesce(n_anchors, 0) / n_chars::DOUBLE, 6) AS anchor_coverage, round(match_rate, 6) AS match_rate, round(uncertain_rate, 6) AS uncertain_rate FROM (SELECT drawing_id, count(DISTINCT char_no) AS n_chars FROM form3 GROUP BY drawing_id) LEFT JOIN (SELECT drawing_id, count(*) AS n_anchors FROM anchors GROUP BY drawing_id) USING (drawing_id) LEFT JOIN (SELECT drawing_id, avg(matched::INT::DOUBLE) AS match_rate, avg((status = 'uncertain')::INT::DOUBLE) AS uncertain_rate FROM classes GROUP BY drawing_id) USING (drawing_id)"))
+_add("A12_coverage_metrics", lambda s, d: classification.coverage_metrics(table(s, d, "form3"), Chain(s, d).taken(), Chain(s, d).classes()).select("drawing_id", *[r6(c).alias(c) for c in ("anchor_coverage", "match_rate", "uncertain_rate")]), query("SELECT drawing_id, round(coalesce(n_anchors, 0) / n_chars::DOUBLE, 6) AS anchor_coverage, round(match_rate, 6) AS match_rate, round(uncertain_rate, 6) AS uncertain_rate FROM (SELECT drawing_id, count(DISTINCT char_no) AS n_chars FROM form3 GROUP BY drawing_id) LEFT JOIN (SELECT drawing_id, count(*) AS n_anchors FROM anchors GROUP BY drawing_id) USING (drawing_id) LEFT JOIN (SELECT drawing_id, avg(matched::INT::DOUBLE) AS match_rate, avg((status = 'uncertain')::INT::DOUBLE) AS uncertain_rate FROM classes GROUP BY drawing_id) USING (drawing_id)"))
 
 for _module in (form3, alignment, evidence, packets, cases):
     for _name, (_run, _sql) in _module.registered(Chain, table, query).items():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from revlens.session import IN_PLACE, Scratch
+from revlens.session import COMPILED, IN_PLACE, Scratch
 
 ITEMS = """
 SELECT l_orderkey AS drawing_id,
@@ -94,6 +94,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[], DataFr
     key = spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name
     if key not in _SAVED:
         spark.conf.set(*IN_PLACE)
+        spark.conf.set(*COMPILED)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // PART_ROWS))
         _SAVED[key] = Scratch(spark, "derived").save_by(frame(), name, "drawing_id", parts)
     return _SAVED[key]
@@ -118,7 +119,7 @@ def _one_pass(sql: str, schema: StructType) -> str:
     for branch in sql.split("UNION ALL"):
         columns, where = branch.strip().removeprefix("SELECT drawing_id,").split("FROM placed WHERE")
         rows.append(f"CASE WHEN {where} THEN CAST(struct({columns}) AS STRUCT<{kind}>) END")
-    return f"SELECT drawing_id, inline(filter(array({', '.join(rows)}), r -> r IS NOT NULL)) FROM {{placed}}"
+    return f"SELECT drawing_id, r.* FROM (SELECT drawing_id, explode(array({', '.join(rows)})) AS r FROM {{placed}}) WHERE r IS NOT NULL"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -131,3 +131,15 @@ def test_media(spark):
     got = [(r["query_id"], r["match_id"], r["n_copies"]) for r in media.align(prints, F.col("id") == 1).collect()]
     assert got == [(1, 0, 1)]
     assert media.align(prints.limit(0), F.col("id") == 1).count() == 0
+
+
+def test_a_worker_gives_freed_memory_back_after_its_last_chunk(monkeypatch):
+    """op9, pipeline: executors grew from stage to stage by what idle workers had kept."""
+    import pyarrow as pa
+
+    from revlens.llm import textscan
+
+    given = []
+    monkeypatch.setattr(textscan, "give_back", lambda: given.append(1), raising=False)
+    batch = pa.record_batch({"text": ["a", None, "bc"]})
+    assert [len(c) for c in textscan.chunks(iter([batch, batch]))] == [3, 3] and given == [1]

@@ -7,8 +7,11 @@ integer arithmetic, so both engines derive the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,6 +74,8 @@ TABLES = {"items": ITEMS, "placed": PLACED, "form3": FORM3, "hits": HITS, "spans
 PART_ROWS = 250_000
 #: Rows of ``part``, of two numbers each, that are sent to all executors; a larger table is joined by shuffling.
 SENT_ROWS = 2_000_000
+#: What orders the rows of a drawing first.
+_ORDER = ["k", "s", "ln", "q"]
 _SAVED: dict[tuple, DataFrame] = {}
 
 
@@ -85,31 +90,89 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(found)
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[], DataFrame]) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // PART_ROWS))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[], DataFrame], mended: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
     """``frame()`` as a table written once per application, folder and state of its sources, for all queries that read it.
 
     It is dealt out by drawing. All that follows keeps to that, so that no later
-    step shuffles or writes its rows again.
+    step shuffles or writes its rows again. Where ``mended(table)`` gives another
+    frame, that is written in its place.
     """
     key = spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name
     if key not in _SAVED:
         spark.conf.set(*IN_PLACE)
         spark.conf.set(*COMPILED)
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // PART_ROWS))
-        _SAVED[key] = Scratch(spark, "derived").save_by(frame(), name, "drawing_id", parts)
+        scratch, parts = Scratch(spark, "derived"), _parts(spark, sf_dir)
+        saved = scratch.save_by(frame(), name, "drawing_id", parts)
+        if mended and (other := mended(saved)) is not None:
+            saved = scratch.save_by(other, f"{name}_mended", "drawing_id", parts)
+            scratch.drop(name)
+        _SAVED[key] = saved
     return _SAVED[key]
 
 
+#: Fields of an item in two numbers, by the bits that each may take.
+_PACKED = {"ks": {"k": 31, "s": 32}, "rest": {"ln": 16, "q": 16, "size": 16, "d": 15}}
+_FIELDS = {"k": "l_partkey", "s": "l_suppkey", "ln": "l_linenumber", "q": "l_quantity", "d": "round(l_discount * 100)", "size": "coalesce(p_size, 1)"}
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows with their fields in two numbers; a row with a field that is null, takes more bits or is a broken quantity has them in ``odd``."""
+    bits = {f: b for fields in _PACKED.values() for f, b in fields.items()}
+    fits = F.coalesce(reduce(and_, [F.col(f).between(0, min(2**b, 2**31) - 1) for f, b in bits.items()]) & (F.col("q") == F.col("quantity")), F.lit(False))
+
+    def number(fields: dict[str, int]) -> Column:
+        return reduce(lambda x, f: F.shiftleft(x, fields[f]).bitwiseOR(F.col(f).cast("long")), fields, F.lit(0).cast("long"))
+
+    return rows.select("drawing_id", *[F.when(fits, number(fields)).alias(n) for n, fields in _PACKED.items()], F.when(~fits, F.struct(*bits, "quantity")).alias("odd"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    columns = []
+    for n, fields in _PACKED.items():
+        x = F.col(n)
+        for f, b in reversed(fields.items()):
+            columns.append(F.when(F.col("odd").isNotNull(), F.col(f"odd.{f}")).otherwise(x.bitwiseAND(2**b - 1).cast("int")).alias(f))
+            x = F.shiftrightunsigned(x, b)
+    return rows.select("drawing_id", *columns, "odd.quantity")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered order rows, which every derived table reads."""
+    """Numbered order rows, which every derived table reads.
 
-    def rows() -> DataFrame:
-        sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
-        if sources["part"].count() <= SENT_ROWS:
-            sources["part"] = F.broadcast(sources["part"].select("p_partkey", "p_size"))
-        return spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **sources)
+    They are dealt out with the fields that items have, two numbers a row. Part, supplier, line and
+    quantity order the rows of a drawing; where two different items agree in all
+    four, the drawing's whole rows are dealt out too and numbered by all their columns.
+    """
+
+    def sources() -> dict[str, DataFrame]:
+        found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
+        if found["part"].count() <= SENT_ROWS:
+            found["part"] = F.broadcast(found["part"].select("p_partkey", "p_size"))
+        return found
 
-    return once(spark, sf_dir, "items", rows)
+    def rows() -> DataFrame:
+        t = sources()
+        joined = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"), "left")
+        narrow = joined.select(F.col("l_orderkey").alias("drawing_id"), *[F.expr(f"CAST({x} AS INT)").alias(f) for f, x in _FIELDS.items()], F.col("l_quantity").alias("quantity"))
+        dealt = _unpacked(_packed(narrow).repartition(_parts(spark, sf_dir), "drawing_id"))
+        order = W.partitionBy("drawing_id").orderBy(*_ORDER[:3], F.coalesce("quantity", "q"))
+        return dealt.select("drawing_id", F.row_number().over(order).alias("ord"), "k", "s", "ln", "q", "d", "size")
+
+    def mended(saved: DataFrame) -> DataFrame | None:
+        rest = F.struct("d", "size")
+        tied = saved.groupBy("drawing_id", *_ORDER).agg(F.min(rest).alias("least"), F.max(rest).alias("most")).where("NOT least <=> most").select("drawing_id").distinct()
+        if tied.isEmpty():
+            return None
+        t = sources()
+        t["lineitem"] = t["lineitem"].join(tied, F.col("l_orderkey").eqNullSafe(F.col("drawing_id")), "left_semi")
+        whole = spark.sql(ITEMS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}"), **t)
+        return saved.join(tied.withColumnRenamed("drawing_id", "tied_id"), F.col("drawing_id").eqNullSafe(F.col("tied_id")), "left_anti").unionByName(whole)
+
+    return once(spark, sf_dir, "items", rows, mended)
 
 
 def _one_pass(sql: str, schema: StructType) -> str:

@@ -39,7 +39,8 @@ def scored_spans(linked: DataFrame, spans: DataFrame, how: str = "inner") -> Dat
     rows = X.with_tokens(linked, "requirement", "a_").select(*linked.columns, "a_words").join(page, ["drawing_id", "page"], how)
     bcx, bcy = G.center(G.box("b"))
     cx, cy = G.center(G.box())
-    both, either = F.size(F.array_intersect("a_words", "s_words")), F.size(F.array_union("a_words", "s_words"))
+    both = F.size(F.array_intersect("a_words", "s_words"))
+    either = F.size("a_words") + F.size("s_words") - both  # both sides are without repetitions
     jaccard = F.when(either > 0, both / either).otherwise(0.0)
     near = F.lit(1.0) / (F.lit(1.0) + G.distance(cx, cy, bcx, bcy) / 100.0)
     return rows.withColumn("score", 0.5 * jaccard + 0.4 * near - 0.1 * G.size_penalty(G.box()))

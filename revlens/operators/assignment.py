@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,17 +25,37 @@ def greedy(edges: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
     For drawings whose edges fit one row; :func:`dominant` has no such bound.
     """
+    folded = edges.groupBy("drawing_id").agg(F.sort_array(F.collect_list(_edge(carried))).alias("edges"))
+    return folded.select("drawing_id", F.explode(_chosen()).alias("e")).select("drawing_id", "e.char_no", "e.cand_rank", *[f"e.{c}" for c in carried])
+
+
+def greedy_anchors(edges: DataFrame, own: tuple[str, ...], carried: tuple[str, ...]) -> DataFrame:
+    """Anchors, one row each, with their columns ``own`` and what is ``carried`` of the edge that :func:`greedy` accepts, if any.
+
+    ``edges`` have a row for an anchor without candidates too, in which ``span_ord`` is null.
+    """
+    edge = F.when(F.col("span_ord").isNotNull(), _edge(carried))
+    anchor = F.when(F.col("cand_rank") == 1, F.struct("char_no", *own))
+    folded = edges.groupBy("drawing_id").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.collect_list(anchor).alias("anchors"))
+    rows = folded.select("drawing_id", "anchors", F.explode(F.array(_chosen())).alias("chosen")).select("drawing_id", F.explode("anchors").alias("a"), "chosen")
+    rows = rows.withColumn("e", F.get(F.filter("chosen", lambda e: e["char_no"] == F.col("a.char_no")), F.lit(0)))
+    return rows.select("drawing_id", "a.*", *[f"e.{c}" for c in carried])
+
+
+def _edge(carried: tuple[str, ...]) -> Column:
     first = F.when(F.isnan("total_score"), float("-inf")).otherwise(-F.col("total_score"))  # not a number ranks above all scores
-    edge = F.struct(first.alias("first"), "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"), *carried)
-    folded = edges.groupBy("drawing_id").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return F.struct(first.alias("first"), "anchor_ord", "cand_rank", "char_no", F.struct(*SPAN_KEY).alias("span"), *carried)
+
+
+def _chosen() -> Column:
+    """Of ``edges`` in their order those that clash with none before."""
     empty = F.filter(F.col("edges"), lambda e: F.lit(False))
 
     def step(taken, e):
         clash = F.exists(taken, lambda t: (t["char_no"] == e["char_no"]) | (t["span"] == e["span"]))
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(e)))
 
-    chosen = F.aggregate("edges", empty, step)
-    return folded.select("drawing_id", F.explode(chosen).alias("e")).select("drawing_id", "e.char_no", "e.cand_rank", *[f"e.{c}" for c in carried])
+    return F.aggregate("edges", empty, step)
 
 
 def dominant(edges: DataFrame, rounds: int = 1000) -> DataFrame:

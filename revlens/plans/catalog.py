@@ -67,28 +67,26 @@ class Chain:
     def places(self) -> DataFrame:
         return candidates.span_contexts(self.t("spans_b"))
 
-    def pairs(self) -> DataFrame:
-        return candidates.all_pairs(self.anchors(), self.places(), self.t("transforms"), self.t("spans_b"))
+    def pairs(self, how: str = "inner", carried: tuple[str, ...] = ()) -> DataFrame:
+        return candidates.all_pairs(self.anchors(), self.places(), self.t("transforms"), self.t("spans_b"), how, carried)
 
-    def cands(self) -> DataFrame:
-        return candidates.top_candidates(self.pairs())
+    def cands(self, how: str = "inner", carried: tuple[str, ...] = ()) -> DataFrame:
+        return candidates.top_candidates(self.pairs(how, carried))
 
     def taken(self) -> DataFrame:
         """Anchors with the key and the scores of the span that each got, if any. Drawings with too many rows for one fold, which is known before any pair is made, are assigned in rounds."""
         kept = ("span_ord", "location_score", "context_score")
-        columns = ["drawing_id", "char_no", "line_id", *kept]
+        places = tuple(f"{b}{c}" for b in "br" for c in G.CORNERS)
+        own = ("anchor_ord", "page", "requirement", *places)
 
-        def assigned() -> DataFrame:
-            cands = self.cands()
+        def rows() -> DataFrame:
+            cands = self.cands("left", ("page", *places))
             large = self.t("items").groupBy("drawing_id").agg(F.count("*").alias("n")).where(F.col("n") * candidates.TOP_K > assignment.FOLD_EDGES).select("drawing_id")
             if large.isEmpty():
-                return assignment.greedy(cands, ("line_id", *kept)).select(*columns)
-            rounds = assignment.matches(cands.join(large, "drawing_id", "left_semi")).select(*columns)
-            return assignment.greedy(cands.join(large, "drawing_id", "left_anti"), ("line_id", *kept)).select(*columns).unionByName(rounds)
-
-        def rows() -> DataFrame:
-            own = self.found().select("drawing_id", "char_no", "anchor_ord", "page", "requirement", *[f"{b}{c}" for b in "br" for c in G.CORNERS])
-            return own.join(assigned(), ["drawing_id", "char_no"], "left")
+                return assignment.greedy_anchors(cands, own, ("line_id", *kept))
+            rounds = assignment.matches(self.cands().join(large, "drawing_id", "left_semi")).select("drawing_id", "char_no", "line_id", *kept)
+            many = self.found().join(large, "drawing_id", "left_semi").select("drawing_id", "char_no", *own).join(rounds, ["drawing_id", "char_no"], "left")
+            return assignment.greedy_anchors(cands.join(large, "drawing_id", "left_anti"), own, ("line_id", *kept)).unionByName(many)
 
         return self.once("taken", rows)
 
